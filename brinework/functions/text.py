@@ -48,7 +48,7 @@ def blank_to_null(c: str | Column) -> Column:
 
 def first_filled(*cols: str | Column) -> Column:
     """The first column that is neither null nor '', else ''."""
-    return F.coalesce(*[F.nullif(_col(c), F.lit("")) for c in cols], F.lit(""))
+    return F.coalesce(*[F.nullif(_col(c).cast("string"), F.lit("")) for c in cols], F.lit(""))
 
 
 def keywords(c: str | Column, *, min_length: int = 2, stop_words: tuple[str, ...] = ()) -> Column:

@@ -41,19 +41,19 @@ def match_names(names: DataFrame, companies: DataFrame, *, name: str = "name", c
     return names.select(F.col(name).alias("name")).distinct().join(found, "name", "left").select("name", F.col("m.code").alias("code"), F.col("m.step").alias("step"))
 
 
-def contained_terms(texts: DataFrame, terms: DataFrame, *, text: str, term: str) -> DataFrame:
-    """Pairs of a text and a term of whole words that it contains, case folded.
+def contained_terms(texts: DataFrame, terms: DataFrame, *, key: str, text: str, term: str) -> DataFrame:
+    """Pairs of a text (by its unique ``key``) and a term of whole words that it contains, case folded.
 
-    Instead of comparing every text with every term, the words of the text
-    join the first words of the terms by equality; the full term is then looked
-    up in the text.
+    Instead of comparing every text with every term, the distinct words of the
+    texts join the first words of the terms by equality; the texts are joined
+    back once for their candidate terms, which are then looked up in full.
     """
     words = r"[^\p{L}\p{N}]+"
-    first = F.element_at(F.split(F.lower(F.col(term)), words), 1)
-    heads = terms.withColumn("_head", first)
-    tokens = texts.withColumn("_head", F.explode(F.array_distinct(F.split(F.lower(F.col(text)), words))))
+    heads = terms.withColumn("_head", F.element_at(F.split(F.lower(F.col(term)), words), 1))
+    tokens = texts.select(key, F.array_distinct(F.split(F.lower(F.col(text)), words)).alias("_words")).select(key, F.explode("_words").alias("_head"))
+    candidates = tokens.join(heads, "_head").drop("_head")
     hit = F.contains(F.lower(F.col(text)), F.lower(F.col(term)))
-    return tokens.join(heads, "_head").where(hit).drop("_head")
+    return texts.join(candidates, key).where(hit)
 
 
 def question_companies(questions: DataFrame, companies: DataFrame, *, question: str = "question", alias: str = "alias", ticker: str = "ticker") -> DataFrame:
@@ -87,6 +87,6 @@ def prefix_or_title(reports: DataFrame, files: DataFrame) -> DataFrame:
     best = Window.partitionBy("report_id").orderBy(F.desc(F.contains("body", "title")), "path")
     by_day = dated.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("report_id", "path", F.lit("day").alias("matched_by"))
     rest = reports.join(by_day, "report_id", "left_anti").withColumn("stub", F.substring("title", 1, 20)).where("length(stub) > 0")
-    found = contained_terms(files, rest, text="body", term="stub")
+    found = contained_terms(files, rest.select("report_id", "stub"), key="path", text="body", term="stub")
     by_title = found.groupBy("report_id").agg(F.min("path").alias("path")).withColumn("matched_by", F.lit("title"))
     return reports.join(by_day.unionByName(by_title), "report_id", "left")

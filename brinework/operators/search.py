@@ -97,7 +97,9 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, *, k: int | None = Non
     words = tokens(F.col(text))
     wanted = queries.select(query_id, F.array_distinct(tokens(F.col(query))).alias("_w")).where("size(_w) > 0")
     wanted = wanted.select(query_id, F.size("_w").alias("_need"), F.explode("_w").alias("_word"))
-    counts = chunks.select(id_col, F.size(words).alias("_len"), F.explode(words).alias("_word")).groupBy(id_col, "_len", "_word").agg(F.count("*").alias("_tf"))
+    # the words are split below the explode, and only their count is carried along
+    split = chunks.select(id_col, words.alias("_words")).select(id_col, F.size("_words").alias("_len"), "_words")
+    counts = split.select(id_col, "_len", F.explode("_words").alias("_word")).groupBy(id_col, "_len", "_word").agg(F.count("*").alias("_tf"))
     hits = counts.join(wanted, "_word").groupBy(query_id, id_col, "_len", "_need").agg(F.count("*").alias("_got"), F.sum("_tf").alias("_tf"))
     scored = hits.where("_got = _need").select(query_id, id_col, (F.col("_tf") / F.col("_len")).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)))

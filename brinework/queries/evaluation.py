@@ -25,8 +25,8 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LISTS = (
     f"{_CAND}, l AS (SELECT query_id, query, list(lower(content) ORDER BY rank) AS t, list(sim ORDER BY rank) AS sims, any_value(list_distinct_kept) AS e FROM (SELECT *, "
     r"list_filter(regexp_extract_all(lower(query), '[\p{L}\p{N}]+'), lambda w: len(w) >= 6) AS ws, list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: list_position(ws, z[1]) = z[2]), lambda z: z[1])[1:4] AS list_distinct_kept FROM p) GROUP BY query_id, query), "
-    "h AS (SELECT *, list_transform(t, lambda x: len(list_filter(e, lambda k: contains(x, k)))) AS hits FROM l), "
-    "g AS (SELECT *, list_transform(hits[1:5], lambda n: CASE WHEN n > 0 THEN 1 ELSE 0 END) AS rel FROM h), "
+    "hh AS (SELECT *, list_transform(t, lambda x: len(list_filter(e, lambda k: contains(x, k)))) AS hits FROM l), "
+    "g AS (SELECT *, list_transform(hits[1:5], lambda n: CASE WHEN n > 0 THEN 1 ELSE 0 END) AS rel FROM hh), "
     "m AS (SELECT query_id, CASE WHEN len(e) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(e, lambda k: len(list_filter(t[1:5], lambda x: contains(x, k))) > 0)) / len(e) END AS recall, "
     "list_sum(rel) / len(rel) AS \"precision\", coalesce(1.0::DOUBLE / list_position(list_transform(hits, lambda n: n > 0), true), 0.0::DOUBLE) AS mrr, "
     "coalesce(list_sum(list_transform(rel, lambda x, i: x / log2(i + 1))), 0.0::DOUBLE) AS dcg, list_sum(list_transform(range(1, CAST(list_sum(rel) AS BIGINT) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))) AS idcg, "

@@ -116,7 +116,7 @@ def alias_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item verbatim, found by an equality join on words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("term"))
-    return joins.contained_terms(docs, items, text="body", term="term").select("doc_id", "item_id").distinct()
+    return joins.contained_terms(docs, items, key="doc_id", text="body", term="term").select("doc_id", "item_id").distinct()
 
 
 @query(

@@ -166,8 +166,8 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEYS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[가-힣a-zA-Z0-9]+')), lambda w: len(w) >= 2)"
 _CAND = (
-    f"WITH {_KW}, c AS (SELECT kw.query_id, kw.chunk_id, rank, round(score, 6) AS sim, b.text AS query, d.text AS content, kw.chunk_id % 7 AS chunk_index FROM kw JOIN d USING (chunk_id) JOIN benchmark b ON b.item_id = kw.query_id WHERE rank <= 15), "
-    f"k AS (SELECT *, {_KEYS.format('query')} AS a, {_KEYS.format('content')} AS b FROM c), "
+    f"WITH {_KW}, cc AS (SELECT kw.query_id, kw.chunk_id, rank, round(score, 6) AS sim, b.text AS query, d.text AS content, kw.chunk_id % 7 AS chunk_index FROM kw JOIN d USING (chunk_id) JOIN benchmark b ON b.item_id = kw.query_id WHERE rank <= 15), "
+    f"k AS (SELECT *, {_KEYS.format('query')} AS a, {_KEYS.format('content')} AS b FROM cc), "
     "p AS (SELECT *, CASE WHEN len(a) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b)) / len(a) END AS kws, 1.0::DOUBLE / (1.0::DOUBLE + abs(length(content) - 200) / 200.0::DOUBLE) AS lens, 1.0::DOUBLE / (1.0::DOUBLE + 0.1::DOUBLE * chunk_index) AS poss FROM k)"
 )
 
