@@ -100,7 +100,7 @@ def particle_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("w", F.concat("w", text.particle("w", "은", "는")).alias("said"))
 
 
-@query("SELECT * FROM (VALUES (1, '매출: 100, 기타'), (2, '신규설립: 신규설립'), (3, '6: 6')) AS t(id, x)")
+@query("SELECT * FROM (VALUES (1, '매출: 100,기타'), (2, '신규설립: 신규설립'), (3, '6: 6')) AS t(id, x)")
 def repetition_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, [(1, "구분: 구분,매출: 100,기타"), (2, "신규설립: 신규설립"), (3, "6: 6")], "id int, x string")
     return rows.select("id", text.repetition_reduced("x").alias("x"))
