@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from brinework.llm import _bytes as B
 from brinework.llm._convnet import Adagrad, Bank, softmax
-from brinework.llm._shared import held_out, id_crc
+from brinework.llm._shared import hash_sample, held_out, id_crc
 from brinework.llm.quality import lay_out
 
 #: Given for texts without a letter.
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, *, max_rows: int = 1500, max_bytes: int = 1 << 14, modu
     langs: list[str] = []
     picks = None
     for name in names:
-        ids = able.where(F.col("lang") == name).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+        ids = hash_sample(able.where(F.col("lang") == name).select("doc_id", "lang"), ["doc_id"], each)
         picks = ids if picks is None else picks.unionAll(ids)
     if picks is not None:
         rows = able.join(F.broadcast(picks.distinct()), ["doc_id", "lang"]).orderBy(id_crc("doc_id"), "doc_id", "text").limit(max_rows).select("text", "lang").toArrow()
