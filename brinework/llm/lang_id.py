@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from brinework.llm import _bytes as B
 from brinework.llm._convnet import Adagrad, Bank, softmax
-from brinework.llm._shared import hash_sample, held_out, id_crc
+from brinework.llm._shared import hash_sample, held_out, id_crc, materialize
 from brinework.llm.quality import lay_out
 
 #: Given for texts without a letter.
@@ -79,13 +79,14 @@ def fit(docs: DataFrame, *, max_rows: int = 1500, max_bytes: int = 1 << 14, modu
     hash of the id.  ``max_bytes`` and ``max_rows`` bound the sample only.
     """
     able = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id", modulus, remainder) & F.octet_length("text").between(1, max_bytes))
-    names = [r[0] for r in able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
+    known = materialize(able.select("doc_id", "lang"), "languages")
+    names = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
     each = max(1, max_rows // max(1, len(names)))
     texts: list[bytes] = []
     langs: list[str] = []
     picks = None
     for name in names:
-        ids = hash_sample(able.where(F.col("lang") == name).select("doc_id", "lang"), ["doc_id"], each)
+        ids = hash_sample(known.where(F.col("lang") == name), ["doc_id"], each)
         picks = ids if picks is None else picks.unionAll(ids)
     if picks is not None:
         rows = able.join(F.broadcast(picks.distinct()), ["doc_id", "lang"]).orderBy(id_crc("doc_id"), "doc_id", "text").limit(max_rows).select("text", "lang").toArrow()
