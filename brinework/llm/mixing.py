@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brinework.llm._bytes import mix
 from brinework.llm._shared import PREFIX, materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -48,8 +49,6 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0
 
 def _uniform(seed: int, keys: np.ndarray, step: int) -> np.ndarray:
     """Numbers in [0, 1) that the key, the level and the seed fix."""
-    from brinework.llm._bytes import mix
-
     h = mix(keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((seed * 1000003 + step) & (2**63 - 1)))
     return (h >> np.uint64(11)).astype(np.float64) / 2**53
 
@@ -164,7 +163,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0)
         if last:
             break
         step, left = step + 1, -(-left // fan_in)
-        open_rows = level.where(F.col(LEVEL) != -1).select(ID, SOURCE, PREFIX + "key", SIZE, MASS, LEVEL, F.pmod(F.abs(F.xxhash64(PREFIX + "key")), F.lit(left)).alias(UNIT))
+        open_rows = level.where(F.col(LEVEL) != -1).select(ID, SOURCE, PREFIX + "key", SIZE, MASS, LEVEL, F.pmod(F.xxhash64(PREFIX + "key"), F.lit(left)).alias(UNIT))
     out = done.join(dim.withColumnRenamed(SOURCE, PREFIX + "s"), F.col(SOURCE).eqNullSafe(F.col(PREFIX + "s")))
     copies = F.when(F.col(SIZE) == 0, 0).otherwise(F.floor(rate) + F.col(COPIES).cast("int")).cast("long")
     return out.select(F.col(ID).alias("doc_id"), F.col(SOURCE).alias("source"), F.col(SIZE).alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col(SIZE)).alias("taken"))
