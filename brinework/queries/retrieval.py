@@ -130,12 +130,12 @@ _HITS = (
 def _fused_sql(value: str) -> str:
     return (
         f"{_HITS}, m AS (SELECT query_id, chunk_id, {value} AS fused, min(s * 1000 + rank) AS f FROM b GROUP BY ALL), "
-        "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, f) AS rank FROM m) SELECT query_id, chunk_id, round(fused, 6) AS fused, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"
+        "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 12) DESC, f) AS rank FROM m) SELECT query_id, chunk_id, round(fused, 8) AS fused, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"
     )
 
 
 def _fused(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    return search.fuse(*_hits(spark, sf_dir), method=method, k=10).withColumn("fused", F.round("fused", 6))
+    return search.fuse(*_hits(spark, sf_dir), method=method, k=10).withColumn("fused", F.round("fused", 8))
 
 
 @query(_fused_sql("sum(1.0::DOUBLE / (60 + rank))"))
@@ -175,12 +175,12 @@ _CAND = (
 def _rerank_sql(score: str, top: int = 15, base: str = "p", prior: str = "rank") -> str:
     return (
         f"{_CAND}, r AS (SELECT query_id, chunk_id, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 12) DESC, {prior}) AS new FROM {base}) "
-        f"SELECT query_id, chunk_id, round(score, 6) AS score, CAST(new AS INT) AS rank FROM r WHERE new <= {top}"
+        f"SELECT query_id, chunk_id, round(score, 8) AS score, CAST(new AS INT) AS rank FROM r WHERE new <= {top}"
     )
 
 
 def _reranked(df: DataFrame) -> DataFrame:
-    return df.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return df.select("query_id", "chunk_id", F.round("score", 8).alias("score"), "rank")
 
 
 @query(_rerank_sql("(1 - 0.3::DOUBLE) * sim + 0.3::DOUBLE * kws"))
@@ -208,7 +208,7 @@ def rerank_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"{_CAND}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({_COMBINED}, 12) DESC, rank) AS one FROM p), t AS (SELECT * FROM o WHERE one <= 9), "
-    "r AS (SELECT query_id, chunk_id, kws AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(kws, 12) DESC, one) AS new FROM t) SELECT query_id, chunk_id, round(score, 6) AS score, CAST(new AS INT) AS rank FROM r WHERE new <= 3"
+    "r AS (SELECT query_id, chunk_id, kws AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(kws, 12) DESC, one) AS new FROM t) SELECT query_id, chunk_id, round(score, 8) AS score, CAST(new AS INT) AS rank FROM r WHERE new <= 3"
 )
 def two_stage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reranked(rerank.two_stage(_candidates(spark, sf_dir), rerank.keyword_score(), k=3))
