@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,12 +34,26 @@ def normalised(a: str | Column) -> Column:
 
 
 def hashed_embedding(words: str | Column, dimension: int = 64, seed: int = 0) -> Column:
-    """A unit vector from word hashes: each word adds a signed one at its place; no words give zeros."""
-    words = _col(words)
-    marks = F.transform(words, lambda w: F.xxhash64(w, F.lit(seed)))
-    at = F.transform(marks, lambda h: F.struct(F.pmod(h, F.lit(dimension)).alias("i"), F.when(F.shiftrightunsigned(h, 63) == 0, 1.0).otherwise(-1.0).alias("s")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(at, lambda x: x["i"] == i), F.lit(0.0), lambda acc, x: acc + x["s"]))
-    return normalised(sums)
+    """A unit vector from word hashes: each word adds a signed one at its place; no words give zeros.
+
+    An Arrow-batched UDF: one pass over the words, where array functions would
+    pass over them once for each dimension.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(lists: pd.Series) -> pd.Series:
+        out = []
+        for words in lists:
+            v = np.zeros(dimension)
+            if words is not None and len(words):
+                h = pd.util.hash_array(np.asarray(words, object), categorize=False) ^ np.uint64(seed)
+                v = np.bincount((h % np.uint64(dimension)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), dimension)
+                size = np.sqrt(v @ v)
+                v = v / size if size else v
+            out.append(v)
+        return pd.Series(out, dtype=object)
+
+    return run(_col(words))
 
 
 def prefixed(c: str | Column, role: str) -> Column:

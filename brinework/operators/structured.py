@@ -64,42 +64,48 @@ def merged(*maps: str | Column) -> Column:
     return row_map(F.transform(entries, lambda e: e["key"]), F.transform(entries, lambda e: e["value"]))
 
 
-def value_like(data: Column, pattern: str) -> Column:
-    """The value of the first key that matches."""
-    found = F.filter(F.map_entries(data), lambda e: e["key"].rlike(pattern) & ~F.coalesce(e["value"], F.lit("")).isin("", "-"))
+def value_like(data: Column, pattern: str | Column) -> Column:
+    """The filled value of the first key that matches."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.filter(F.map_entries(data), lambda e: F.rlike(e["key"], pattern) & ~F.coalesce(e["value"], F.lit("")).isin("", "-"))
     return F.try_element_at(found, F.lit(1))["value"]
 
 
-def _sentence(subject: Column, *parts: Column) -> Column:
-    body = F.concat_ws(", ", *parts)
-    return F.when(subject.isNotNull() & (body != ""), F.concat(subject, particle(subject, "은", "는"), F.lit(" "), body, F.lit("입니다.")))
-
-
-def _said(label: str, c: Column) -> Column:
-    return F.when(c.isNotNull(), F.concat(F.lit(label + " "), c))
+_ITEM = "구분|항목|과목|계정|종류|성명|회사"
+#: For each kind of section the key of its subject, the subject without one, and the labels with their keys.
+FORMS = (
+    ("자기주식", _ITEM, "자기주식", (("기초", "기초"), ("취득", "취득"), ("처분", "처분"), ("소각", "소각"), ("기말", "기말"))),
+    ("신용", "평가대상|대상|" + _ITEM, None, (("평가일", "평가일"), ("등급", "등급"), ("평가회사", "평가회사|기관"))),
+    ("배당", _ITEM, None, (("당기", "당기"), ("전기", "전기"))),
+    ("임원", "성명", None, (("직위", "직위"), ("담당업무", "담당|업무"), ("임기", "임기"))),
+    ("사업연도|회계기간", _ITEM, "회계기간", (("시작", "시작|부터"), ("종료", "종료|까지"))),
+    ("기업집단|회사.*분류|규모", _ITEM, None, (("유형", "유형"), ("해당 여부", "해당"))),
+    ("주식", _ITEM, None, (("주식수", "주식수|수량|총수"), ("비율", "비율|지분"))),
+    ("재무|손익|현금흐름", _ITEM, None, (("당기", r"당기|제\s*\d+\s*기"), ("전기", "전기"), ("비고", "비고|주석"))),
+)
 
 
 def sentence(section: str | Column, data: str | Column) -> Column:
     """A sentence for a table row, by its section and keys; null data gives null.
 
-    Treasury stock, credit rating, dividend, executive, fiscal period, stock and
-    finance rows have forms of their own; others, and rows without the keys
-    that the form needs, are listed as pairs.
+    Treasury stock, credit rating, dividend, executive, fiscal period, company
+    size, stock and finance rows have forms of their own; others, and rows
+    without the keys that the form needs, are listed as pairs.
     """
     section, d = F.coalesce(_col(section), F.lit("")), _col(data)
-    item = value_like(d, "구분|항목|과목|계정|종류|성명|회사")
-    value = lambda p: value_like(d, p)
-    forms = (
-        ("자기주식", _sentence(F.coalesce(item, F.lit("자기주식")), _said("기초", value("기초")), _said("취득", value("취득")), _said("처분", value("처분")), _said("소각", value("소각")), _said("기말", value("기말")))),
-        ("신용", _sentence(F.coalesce(value("평가대상|대상"), item), _said("평가일", value("평가일")), _said("등급", value("등급")), _said("평가회사", value("평가회사|기관")))),
-        ("배당", _sentence(item, _said("당기", value("당기")), _said("전기", value("전기")))),
-        ("임원", _sentence(value("성명"), _said("직위", value("직위")), _said("담당업무", value("담당|업무")), _said("임기", value("임기")))),
-        ("사업연도|회계기간", _sentence(F.coalesce(item, F.lit("회계기간")), _said("시작", value("시작|부터")), _said("종료", value("종료|까지")))),
-        ("기업집단|회사.*분류|규모", _sentence(item, _said("유형", value("유형")), _said("해당 여부", value("해당")))),
-        ("주식", _sentence(item, _said("주식수", value("주식수|수량|총수")), _said("비율", value("비율|지분")))),
-        ("재무|손익|현금흐름", _sentence(item, _said("당기", value("당기|제\\s*\\d+\\s*기")), _said("전기", value("전기")), _said("비고", value("비고|주석")))),
-    )
-    out = F.lit(None).cast("string")
-    for pattern, form in reversed(forms):
-        out = F.when(section.rlike(pattern) & form.isNotNull(), form).otherwise(out)
-    return F.coalesce(out, F.nullif(pairs_text(d), F.lit("")))
+    form = None
+    for pattern, subject, default, labels in FORMS:
+        parts = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(key).alias("key")) for name, key in labels])
+        spec = F.struct(F.lit(subject).alias("subject"), F.lit(default).cast("string").alias("otherwise"), parts.alias("labels"))
+        form = F.when(section.rlike(pattern), spec) if form is None else form.when(section.rlike(pattern), spec)
+
+    def said(f: Column) -> Column:
+        values = F.transform(f["labels"], lambda p: F.concat(p["name"], F.lit(" "), value_like(d, p["key"])))
+        return F.struct(F.coalesce(value_like(d, f["subject"]), f["otherwise"]).alias("subject"), F.array_join(values, ", ").alias("body"))
+
+    def built(s: Column) -> Column:
+        return F.when(s["subject"].isNotNull() & (s["body"] != ""), F.concat(s["subject"], particle(s["subject"], "은", "는"), F.lit(" "), s["body"], F.lit("입니다.")))
+
+    # one-element arrays name what is used more than once, so it is worked out once
+    out = F.transform(F.transform(F.filter(F.array(form), lambda f: f.isNotNull()), said), built)
+    return F.coalesce(F.try_element_at(out, F.lit(1)), F.nullif(pairs_text(d), F.lit("")))
