@@ -10,7 +10,7 @@ from brinework.functions.text import _col
 #: Finance terms that become keyword tags.
 FINANCE_TERMS = ("자산", "부채", "자본", "매출", "영업이익", "당기순이익", "현금", "유동", "비유동", "감가상각", "이자", "배당", "주식", "보통주", "우선주")
 #: Fund brands that are no companies.
-FUND_BRANDS = ("TIGER", "KODEX", "KBSTAR", "ARIRANG", "HANARO", "ACE", "SOL", "KOSEF")
+FUND_BRANDS = ("TIGER", "KODEX", "ACE", "HANARO", "ARIRANG", "KBSTAR", "TIMEFOLIO")
 
 
 def doc_type(name: str | Column) -> Column:

@@ -12,7 +12,7 @@ from brinework.functions.text import _col
 #: What makes a question one about recent, past or compared figures.
 RECENT, TREND = "최근|최신|현재", "추이|변화|트렌드|증감|성장|감소|증가"
 LAST_YEAR, LAST_QUARTER, COMPARISON = "작년|전년|지난해", r"전\s*분기|이전\s*분기", "비교|대비|차이"
-TIME_HINT = r"20\d{2}|\d{2}년|분기|Q[1-4]|최근|최신|현재|작년|전년|지난해"
+TIME_HINT = r"(?i)\b\d{4}\s*년|\b\d{2}\s*년|\b\d{4}[-./]\d{1,2}|\b\d{8}\b|분기|반기|최근|yoy|qoq"
 
 
 def iso_dates(c: str | Column) -> Column:

@@ -9,8 +9,12 @@ from brinework.functions.text import first_filled, sentences, squeezed, token_es
 
 #: Retrieval parameters of each user level (k, rerank_n, context tokens).
 LEVELS = {"beginner": (3, 3, 2000), "intermediate": (4, 4, 2600), "advanced": (5, 6, 3500)}
-#: Fixed value: the note that guarded answers end with.
-DISCLAIMER = "본 정보는 투자 참고용이며, 투자 판단의 책임은 이용자에게 있습니다."
+#: The note that guarded answers end with, and words that make it needless.
+DISCLAIMER = "\n\n※ 본 답변은 정보 제공 목적이며 투자 권유가 아닙니다."
+DISCLAIMED = "투자 권유가 아니다"
+#: What stands around a preview when no answer was generated, and instead of one.
+NO_ANSWER = "죄송합니다. 모델이 답변을 생성하지 못했습니다. 다음 참고 내용을 확인해 주세요:\n\n```markdown\n"
+NO_CONTEXT = "죄송합니다. 현재 질문에 대한 답변을 생성하지 못했습니다. 잠시 후 다시 시도해 주세요."
 CITATION_FIELDS = ("report_id", "chunk_id", "title", "date", "url", "corp_name", "document_name", "rcept_dt")
 
 
@@ -106,15 +110,16 @@ def grounded(answer: str | Column) -> Column:
 
 
 def guarded(answer: str | Column, note: str = DISCLAIMER) -> Column:
-    """The answer with the note at its end, once."""
+    """The answer with the note at its end, once; an answer that says so itself stays."""
     c = F.coalesce(F.col(answer) if isinstance(answer, str) else answer, F.lit(""))
-    return F.when(F.contains(c, F.lit(note)), c).otherwise(F.concat_ws("\n\n", F.nullif(c, F.lit("")), F.lit(note)))
+    return F.when(F.contains(c, F.lit(DISCLAIMED)) | F.contains(c, F.lit(note)), c).otherwise(F.concat(c, F.lit(note)))
 
 
 def fallback_answer(context: str | Column, *, most: int = 3, limit: int = 600) -> Column:
-    """An extractive answer: the context's first sentences, at most ``limit`` characters."""
+    """What is said without a generated answer: the context's first sentences, at most ``limit`` characters, as a preview."""
     c = F.col(context) if isinstance(context, str) else context
-    return F.left(sentences(squeezed(F.coalesce(c, F.lit(""))), most), F.lit(limit))
+    preview = F.trim(F.left(sentences(squeezed(F.coalesce(c, F.lit(""))), most), F.lit(limit)))
+    return F.when(preview == "", F.lit(NO_CONTEXT)).otherwise(F.concat(F.lit(NO_ANSWER), preview, F.lit("\n```")))
 
 
 def level_table(spark) -> DataFrame:

@@ -10,12 +10,15 @@ from brinework.functions.text import STOP_WORDS, _col, keywords, normalised
 #: Fixed value: a ground truth with this mark is a placeholder.
 PLACEHOLDER = "XX"
 #: Entity patterns of the composite score.
-ENTITY_PATTERNS = (
-    r"\d{4}년", r"\d{1,2}월", r"\d{1,2}일", r"[1-4]분기", r"\d+(?:\.\d+)?%", r"\d+(?:,\d{3})*원",
-    r"\d+억", r"\d+조", r"\d+만", r"[가-힣]+(?:주식회사|전자|화학|증권|은행)", r"[A-Z]{2,}",
+ENTITY_PATTERNS = ("[가-힣]+시", "[가-힣]+구", "[가-힣]+동", "[가-힣]+은행", "[가-힣]+공사", "[가-힣]+센터", r"\d+억원", r"\d+만원", r"\d+%", r"\d+년", r"\d+개월")
+#: Words of the housing-finance domain.
+DOMAIN_WORDS = (
+    "임차보증금", "이자지원", "대출한도", "소득기준", "신혼부부", "전세", "월세", "보증서", "금융공사",
+    "주택금융", "연소득", "무주택자", "세대주", "혼인관계", "가족관계", "주민등록",
 )
 
 
+
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(part / whole)
 
@@ -160,6 +163,12 @@ def entity_density(c: str | Column) -> Column:
     return F.least(F.lit(1.0), F.when(F.length(c) == 0, 0.0).otherwise(n * 1000.0 / F.length(c)))
 
 
+def domain_share(c: str | Column, words: tuple[str, ...] = DOMAIN_WORDS) -> Column:
+    """Share of the domain's words in the text."""
+    text = F.lower(F.coalesce(_col(c), F.lit("")))
+    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))) / F.lit(float(len(words)))
+
+
 def keyword_overlap(a: str | Column, b: str | Column) -> Column:
     """Share of the distinct keywords of ``a`` that ``b`` has too; its precision and recall are one value."""
     x, y = F.array_distinct(keywords(a)), F.array_distinct(keywords(b))

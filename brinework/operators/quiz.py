@@ -28,9 +28,9 @@ def walk(answers: DataFrame, transitions: DataFrame, questions: DataFrame, first
 
 
 def levels(walked: DataFrame, ranks: dict[str, int]) -> DataFrame:
-    """Per user: number of right answers, the highest difficulty answered right, and the level."""
+    """Per user: number of right answers, the highest difficulty answered right (ranks from 1), and the level."""
     rank = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
     top = F.max(F.when(F.col("correct"), rank[F.col("difficulty")]))
     scored = walked.groupBy("user_id").agg(F.sum(F.col("correct").cast("int")).alias("n_correct"), F.coalesce(top, F.lit(0)).alias("top_rank"))
-    level = F.when((F.col("top_rank") >= 3) & (F.col("n_correct") >= 4), "advanced").when((F.col("top_rank") >= 2) & (F.col("n_correct") >= 3), "intermediate").otherwise("beginner")
+    level = F.when((F.col("top_rank") >= 3) & (F.col("n_correct") >= 3), "advanced").when((F.col("top_rank") >= 2) & (F.col("n_correct") >= 2), "intermediate").otherwise("beginner")
     return scored.withColumn("level", level)

@@ -213,7 +213,7 @@ _RANKS = {"easy": 1, "medium": 2, "hard": 3}
 @query(
     "WITH u AS (SELECT c_custkey AS user_id, CAST((c_custkey >> s) & 1 AS BOOLEAN) AS ok, s + 1 AS step FROM customer, range(5) r(s)), w AS (SELECT user_id, ok, step, coalesce(sum(CASE WHEN ok THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lead FROM u), "
     "d AS (SELECT *, CASE WHEN lead < 0 THEN 1 WHEN lead = 0 THEN 2 ELSE 3 END AS rank FROM w), s AS (SELECT user_id, CAST(sum(ok::INT) AS BIGINT) AS n_correct, coalesce(max(rank) FILTER (ok), 0) AS top_rank FROM d GROUP BY user_id) "
-    "SELECT user_id, n_correct, top_rank, CASE WHEN top_rank >= 3 AND n_correct >= 4 THEN 'advanced' WHEN top_rank >= 2 AND n_correct >= 3 THEN 'intermediate' ELSE 'beginner' END AS level FROM s"
+    "SELECT user_id, n_correct, top_rank, CASE WHEN top_rank >= 3 AND n_correct >= 3 THEN 'advanced' WHEN top_rank >= 2 AND n_correct >= 2 THEN 'intermediate' ELSE 'beginner' END AS level FROM s"
 )
 def quiz_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A five-step adaptive quiz; each user answers by the bits of their key."""

@@ -248,8 +248,7 @@ def citations_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, contains(text, '[ref:') AS grounded, "
-    f"length(CASE WHEN contains(text, '{context.DISCLAIMER}') THEN text WHEN text = '' THEN '{context.DISCLAIMER}' ELSE text || chr(10) || chr(10) || '{context.DISCLAIMER}' END) AS answer_chars FROM a"
+    f"SELECT conv_id, turn, contains(text, '[ref:') AS grounded, length(text) + CASE WHEN contains(text, '{context.DISCLAIMED}') OR contains(text, '{context.DISCLAIMER}') THEN 0 ELSE {len(context.DISCLAIMER)} END AS answer_chars FROM conversations WHERE role = 'assistant'"
 )
 def grounding_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").where("role = 'assistant'")
