@@ -13,7 +13,7 @@ _rng = np.random.default_rng(20240229)
 _BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _GRAM_FACTOR = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
-_PART = 1 << 22
+_PART = 1 << 20
 
 #: Lower-cases A-Z and leaves other bytes alone.
 LOWER = np.arange(256, dtype=np.uint8)

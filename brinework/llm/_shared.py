@@ -65,19 +65,20 @@ def hash_sample(df: DataFrame, keys: list[str], max_rows: int) -> DataFrame:
     return df.where(F.pmod(mark, F.lit(share)) == 0).orderBy(mark, *keys).limit(max_rows)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int) -> tuple[list[bytes], list]:
-    """At most ``max_rows`` texts of at most ``max_bytes`` bytes with their label.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_bytes: int, *more: str) -> tuple[list, ...]:
+    """At most ``max_rows`` texts (bytes) of at most ``max_bytes`` bytes, their label, and ``more`` columns.
 
     Rows are taken in order of a hash of the id, so the sample is the same on
     every run.  ``labels`` holds ``doc_id`` and ``label``; of repeated ids the
     largest label counts.  Both bounds hold for fitting only: scoring reads
     every text whole.
     """
-    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_bw_y"))
     ids = hash_sample(ids, ["doc_id"], max_rows)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_rows).select("text", "y").toArrow()
-    return [x.encode() for x in rows.column("text").to_pylist()], rows.column("y").to_pylist()
+    rows = docs.where(F.octet_length("text") <= max_bytes).select("doc_id", F.col("text").cast("binary").alias("_bw_text"), *more)
+    rows = rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_bw_text").limit(max_rows)
+    got = rows.select("_bw_text", "_bw_y", *more).toArrow()
+    return tuple(c.to_pylist() for c in got.columns)
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
