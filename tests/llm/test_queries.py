@@ -12,6 +12,7 @@ import pytest
 
 import corpus_pipeline
 from brinework.llm import queries
+from brinework.llm._shared import materialize
 from tests.compare import connection, rows
 
 SF = "/root/testdata/sf0.001"
@@ -94,7 +95,8 @@ def base_spans(t):
         ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
         ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
     )
-    return [(k, m.start(), m.end()) for _, k, m in sorted((m.start(), n, m) if False else (m.start() * 4 + n, k, m) for n, (k, p, ok) in enumerate(kinds) for m in re.finditer(p, t, re.A) if ok(m))]
+    found = [(m.start(), n, k, m.end()) for n, (k, p, ok) in enumerate(kinds) for m in re.finditer(p, t, re.A) if ok(m)]
+    return [(k, start, end) for start, _, k, end in sorted(found)]
 
 
 def test_secrets_base_spans(spark, docs):
@@ -157,7 +159,7 @@ def test_shards(spark, docs):
 def test_pipeline_stages_do_what_they_say(spark, docs):
     frame, kept = spark.read.parquet(f"{SF}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
-        out = corpus_pipeline.materialize(stage(spark, frame, SF), "test") if hasattr(corpus_pipeline, "materialize") else stage(spark, frame, SF).cache()
+        out = materialize(stage(spark, frame, SF), "test")
         kept[name] = out.toPandas()
         if name != "shard":
             assert out.columns == frame.columns
