@@ -59,8 +59,11 @@ def default_samples(spark: SparkSession, docs: DataFrame, *, text: str = "text",
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.base64(F.unhex(digest))
     random = spark.range(per_class).select(F.when(F.col("id") % 3 == 0, base64).when(F.col("id") % 3 == 1, F.translate(base64, "+/=", "")).otherwise(digest).alias("text"), F.lit(True).alias("random"))
+    # a cut by the texts' hash first, so neither the words of all texts nor one large sort are needed
+    share = max(1, docs.count() // (2 * max(1, per_class)))
+    some = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(share)) == 0)
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ASSIGN + "|" + ACCESS + "|" + HEX, " ")
-    words = docs.select(F.slice(F.regexp_extract_all(plain, F.lit(r"[A-Za-z]{2,}"), F.lit(0)), 1, 20).alias("w")).where(F.size("w") > 1)
+    words = some.select(F.slice(F.regexp_extract_all(plain, F.lit(r"[A-Za-z]{2,}"), F.lit(0)), 1, 20).alias("w")).where(F.size("w") > 1).distinct()
     words = words.orderBy(F.xxhash64(F.concat_ws(" ", "w")), "w").limit(per_class)
     pair = F.zip_with(F.col("w"), F.concat(F.slice("w", 2, 19), F.array(F.lit("id"))), lambda a, b: F.concat(a, F.when(F.length(a) % 3 == 0, F.lit("_")).when(F.length(a) % 3 == 1, F.lit("-")).otherwise(F.lit("")), F.when(F.length(a) % 3 == 2, F.initcap(b)).otherwise(b)))
     ordinary = words.select(F.explode(F.concat("w", pair)).alias("text"), F.lit(False).alias("random"))
