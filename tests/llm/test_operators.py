@@ -310,6 +310,15 @@ def test_frequent_and_rare_words_give_one_score(spark, frequent):
     assert got == want
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 20])
+def test_frequent_and_rare_contexts_give_one_score(spark, odd, frequent):
+    more = [(i, f"the cat {i} sat on mat {i * i}", "Größe 中文"[: i % 8]) for i in range(100, 160)]
+    rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(i, a + b) for i, a, b in more], "doc_id long, text string"))
+    got, want = (sorted((r.doc_id or -1, round(r.score, 3), r.n_known, round(r.base_score, 6)) for r in lm_score.lm_scores(rows, **how).collect()) for how in ({"frequent_contexts": frequent}, {}))
+    assert [x[0] for x in got] == [x[0] for x in want] and len(got) == rows.count()
+    assert np.allclose([x[1:] for x in got], [x[1:] for x in want], rtol=1e-5)
+
+
 @pytest.mark.parametrize("rows", [1, 2, 3, 10, 97, 1000, 1023])
 def test_permutation_is_one(spark, rows):
     got = sorted(r[0] for r in spark.range(rows).select(sharding.permuted(F.col("id"), rows, 5)).collect())
