@@ -38,6 +38,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(rows: int, least: int, each: int) -> int:
+    """A number of parts that grows with the rows: about ``each`` rows a part, ``least`` parts at least."""
+    return max(least, -(-rows // each))
+
+
 def id_crc(doc_id: str | Column) -> Column:
     """crc32 of the id written as text; a null id counts as empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

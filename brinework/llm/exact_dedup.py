@@ -8,14 +8,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinework.llm._shared import PREFIX, materialize
+from brinework.llm._shared import PREFIX, grown, materialize
 
 KEY, SIZE, RUN, ID, LOW, HIGH, COUNT = (PREFIX + x for x in ("key", "bytes", "run", "id", "low", "high", "count"))
 
 
+#: Runs at least, and rows of a run beyond which there are more runs.
+RUNS, RUN_ROWS = 64, 4_000_000
+
+
+def run_of(runs: int) -> Column:
+    """The run of a row, by a hash of its id."""
+    return F.pmod(F.xxhash64(F.col(ID)), F.lit(runs)).cast("long")
+
+
 def digests(docs: DataFrame, *, text: str = "text", key: str = KEY, size: str = SIZE) -> DataFrame:
     """``docs`` without the text, with the SHA-256 of each whole text, A-Z lower-cased, and its length in bytes."""
     keep = [c for c in docs.columns if c not in (text, key, size)]
@@ -98,7 +107,7 @@ def resolve(rows: DataFrame, *, runs: int = 64, fan_in: int = 8) -> DataFrame:
     return leaf.select(RUN, KEY, SIZE).join(top, [KEY, SIZE])
 
 
-def exact_dedup(docs: DataFrame, *, keep: str = "min", doc_id: str = "doc_id", text: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, *, keep: str = "min", doc_id: str = "doc_id", text: str = "text", runs: int | None = None, fan_in: int = 8) -> DataFrame:
     """For every row: the row that stays of its group of equal texts.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as
@@ -110,13 +119,14 @@ def exact_dedup(docs: DataFrame, *, keep: str = "min", doc_id: str = "doc_id", t
 
     Partitions sort their digests into runs, then exchange runs in rounds:
     groups of ``fan_in`` merge into one run, spread over as many partitions,
-    until one run holds each digest once.  log(runs) / log(fan_in) rounds.
+    until one run holds each digest once.  log(runs) / log(fan_in) rounds; the
+    number of runs grows with the rows unless it is given.
     """
     if keep not in ("min", "max"):
         raise ValueError(f"keep is min or max, not {keep!r}")
-    run = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(runs)).cast("long")
-    rows = docs.select(F.col(doc_id).alias(ID), run.alias(RUN), F.col(text).alias("text"))
-    rows = materialize(digests(rows), "digests")
+    rows = materialize(digests(docs.select(F.col(doc_id).alias(ID), F.col(text).alias("text"))), "digests")
+    runs = runs or grown(rows.count(), RUNS, RUN_ROWS)
+    rows = rows.withColumn(RUN, run_of(runs))
     groups = resolve(rows, runs=runs, fan_in=fan_in)
     best = F.when(F.col(HIGH) != -(2**63), F.col(LOW if keep == "min" else HIGH))
     out = rows.join(groups, [RUN, KEY, SIZE]).withColumn("keep_id", best)

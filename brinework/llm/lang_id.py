@@ -76,7 +76,8 @@ def fit(docs: DataFrame, *, max_rows: int = 1500, max_bytes: int = 1 << 14, modu
     """Train on at most ``max_rows`` texts with a language whose id hash is not held out.
 
     An equal share of the sample is taken of each language, in order of a
-    hash of the id.  ``max_bytes`` and ``max_rows`` bound the sample only.
+    hash of the id.  ``max_bytes`` and ``max_rows`` bound the sample only.  The
+    256 most frequent languages can be learned.
     """
     able = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id", modulus, remainder) & F.octet_length("text").between(1, max_bytes))
     known = materialize(able.select("doc_id", "lang"), "languages")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinework.llm import _bytes as B
-from brinework.llm._shared import PREFIX, held_out, materialize
+from brinework.llm._shared import held_out, materialize
 
 ORDER = 3
 #: Never a byte of UTF-8: stands before and after each text.

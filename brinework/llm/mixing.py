@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinework.llm._bytes import mix
-from brinework.llm._shared import PREFIX, materialize
+from brinework.llm._shared import PREFIX, grown, materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ID, SOURCE, SIZE, MASS, COPIES, UNIT, LEVEL = (PREFIX + x for x in ("id", "source", "size", "mass", "copies", "unit", "level"))
@@ -127,7 +127,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[ID, SOURCE, PREFIX + "key", SIZE, MASS, COPIES, LEVEL])
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20, units: int = 512, fan_in: int = 32, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: int = 20, units: int | None = None, fan_in: int = 32, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How many copies of each document the mix takes.
 
     Returns doc_id, source, size (words, null text: 0), source_size, target
@@ -142,11 +142,13 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     one pass that holds one open row for each source.  Longer documents come
     first, so the row that is drawn in the end is a short one.  The open rows (at
     most units x sources) are combined ``fan_in`` units at a time, level by level.
+    There are 512 units, and more from half a million rows a unit on.
     """
     key = F.xxhash64(F.col(doc_id), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
     rows = docs.select(F.col(doc_id).cast("long").alias(ID), F.col(source).cast("string").alias(SOURCE), key.alias(PREFIX + "key"), size.alias(SIZE))
     rows = materialize(rows, "sizes")
+    units = units or grown(rows.count(), 512, 500_000)
     targets = materialize(source_targets(rows.groupBy(SOURCE).agg(F.sum(SIZE).alias("source_size")), weights, share, most), "targets")
     few = targets.count() <= 100_000
     dim = F.broadcast(targets) if few else targets
@@ -156,7 +158,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     done, open_rows, step, left = None, joined, 0, units
     while True:
         last = left == 1
-        dealt = (open_rows.repartition(UNIT, SOURCE) if step else open_rows.repartition(min(units, 256), UNIT)).sortWithinPartitions(UNIT, SOURCE, F.desc(SIZE), PREFIX + "key", ID)
+        dealt = (open_rows.repartition(UNIT, SOURCE) if step else open_rows.repartition(-(-units // 2), UNIT)).sortWithinPartitions(UNIT, SOURCE, F.desc(SIZE), PREFIX + "key", ID)
         level = materialize(dealt.mapInArrow(_pivot(seed, step, last), _SCHEMA), f"level{step}")
         closed = level.where(F.col(LEVEL) == -1)
         done = closed if done is None else done.unionAll(closed)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinework.llm._shared import PREFIX
+from brinework.llm._shared import PREFIX, grown
 
 ROUNDS = 6
 
@@ -56,7 +56,7 @@ def place(number: Column, rows: int, shards: int, seed: int = 0) -> tuple[Column
     return (at % shards).cast("int"), F.floor(at / shards).cast("long")
 
 
-def shard(docs: DataFrame, shards: int = 40, *, seed: int = 0, buckets: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, *, seed: int = 0, buckets: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``row_number``, ``shard`` and ``slot``.
 
     Row numbers depend on the rows alone, not on how they are partitioned.
@@ -65,15 +65,17 @@ def shard(docs: DataFrame, shards: int = 40, *, seed: int = 0, buckets: int = 40
     columns stay; those that bear one of the new names are replaced.
 
     The rows are shuffled once, by the hash of the id (and of the text where
-    ids repeat).  Only the ``buckets`` counts meet in one task.
+    ids repeat).  Only the ``buckets`` counts meet in one task: 4096, and more
+    from a million rows a bucket on.
     """
     docs = docs.drop("row_number", "shard", "slot")
     key, base, number, crc = (PREFIX + x for x in ("bucket", "base", "n", "crc"))
+    rows = docs.count()
+    buckets = buckets or grown(rows, 4096, 1_000_000)
     bucket = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(buckets)).cast("int")
     sizes = docs.select(bucket.alias(key)).groupBy(key).agg(F.count("*").alias(number))
     before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(key, F.coalesce(F.sum(number).over(before), F.lit(0)).alias(base))
-    rows = docs.count()
     order = Window.partitionBy(key).orderBy(doc_id, crc, *[F.hash(F.col(f"`{c}`").cast("string")) for c in docs.columns if c not in (doc_id, text)])
     out = docs.withColumns({key: bucket, crc: F.xxhash64(text)}).withColumn(number, F.row_number().over(order) - 1)
     out = out.join(F.broadcast(bases), key).withColumn("row_number", F.col(base) + F.col(number))
