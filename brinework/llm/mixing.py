@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinework.llm._bytes import mix
@@ -16,6 +16,11 @@ WORDS = r"[^\x20\x09-\x0D]+"
 ID, SOURCE, SIZE, MASS, COPIES, UNIT, LEVEL = (PREFIX + x for x in ("id", "source", "size", "mass", "copies", "unit", "level"))
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Column:
+    """A hash of the row; only rows that agree in all three columns share one, but for chance."""
+    return F.xxhash64(F.col(doc_id), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.col(source))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(SOURCE, source_size) rows with each source's target.
 
@@ -131,7 +136,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     """How many copies of each document the mix takes.
 
     Returns doc_id, source, size (words, null text: 0), source_size, target
-    (of the source), copies and taken (copies * size).  Every document has the
+    (of the source), copies, taken (copies * size) and :func:`row_key`.  Every document has the
     same expected number of words per word of its source; a document is taken
     floor or ceiling of target / source_size times, so at most ``most`` times.
     The taken words of a source differ from its target by less than one
@@ -144,9 +149,8 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     most units x sources) are combined ``fan_in`` units at a time, level by level.
     There are 512 units, and more from half a million rows a unit on.
     """
-    key = F.xxhash64(F.col(doc_id), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(doc_id).cast("long").alias(ID), F.col(source).cast("string").alias(SOURCE), key.alias(PREFIX + "key"), size.alias(SIZE))
+    rows = docs.select(F.col(doc_id).cast("long").alias(ID), F.col(source).cast("string").alias(SOURCE), row_key(doc_id, text, source).alias(PREFIX + "key"), size.alias(SIZE))
     rows = materialize(rows, "sizes")
     units = units or grown(rows.count(), 512, 500_000)
     targets = materialize(source_targets(rows.groupBy(SOURCE).agg(F.sum(SIZE).alias("source_size")), weights, share, most), "targets")
@@ -168,4 +172,4 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0)
         open_rows = level.where(F.col(LEVEL) != -1).select(ID, SOURCE, PREFIX + "key", SIZE, MASS, LEVEL, F.pmod(F.xxhash64(PREFIX + "key"), F.lit(left)).alias(UNIT))
     out = done.join(dim.withColumnRenamed(SOURCE, PREFIX + "s"), F.col(SOURCE).eqNullSafe(F.col(PREFIX + "s")))
     copies = F.when(F.col(SIZE) == 0, 0).otherwise(F.floor(rate) + F.col(COPIES).cast("int")).cast("long")
-    return out.select(F.col(ID).alias("doc_id"), F.col(SOURCE).alias("source"), F.col(SIZE).alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col(SIZE)).alias("taken"))
+    return out.select(F.col(ID).alias("doc_id"), F.col(SOURCE).alias("source"), F.col(SIZE).alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col(SIZE)).alias("taken"), F.col(PREFIX + "key").alias("row_key"))

@@ -173,3 +173,18 @@ def test_pipeline_stages_do_what_they_say(spark, docs):
     copies = kept["mix"].groupby("doc_id").size()
     assert copies.max() <= 2 and set(copies.index) <= clean
     assert len(kept["shard"]) == len(kept["mix"])
+
+
+def test_mix_stage_takes_rows_without_an_id_and_repeated_rows(spark, docs):
+    rows = [(i, f"w{i} " * (5 + i % 7), "en", "abc"[i % 3], 9) for i in range(60)]
+    rows += [(None, "no id here " * 5, "en", "a", 9), (None, "nor here " * 5, None, None, 9)] + [(7, "equal rows " * 4, "en", None, 9)] * 5 + [(70, None, "en", "b", 0), (71, "", None, "b", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix(spark, frame, SF)
+    assert got.columns == frame.columns
+    key = lambda r: (r["doc_id"], r["text"], r["source"])
+    want = collections.Counter()
+    for r in corpus_pipeline.mixing.mix_sources(frame).withColumnRenamed("copies", "k").join(frame.withColumn("row_key", corpus_pipeline.mixing.row_key()).select("row_key", "text").distinct(), "row_key").collect():
+        want[key(r)] += r.k
+    assert collections.Counter(map(key, got.collect())) == +want
+    assert any(r.doc_id is None for r in got.collect())
+    assert corpus_pipeline.mix(spark, frame.limit(0), SF).count() == 0
