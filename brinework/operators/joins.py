@@ -82,10 +82,23 @@ def prefix_or_title(reports: DataFrame, files: DataFrame) -> DataFrame:
     A file whose name starts with the day is taken, one whose body holds the
     title first, then by path; failing that, the first file whose body holds
     the title's first 20 characters.
+
+    Files become one row per day, and one per body of a day, before reports
+    join them.  Titles meet the bodies of their day by the longest word inside
+    the title, which a body that holds the title holds as a whole word; titles
+    of one or two words meet all bodies of their day.
     """
-    dated = reports.join(files.withColumn("day", F.substring("name", 1, 8)), "day")
-    best = Window.partitionBy("report_id").orderBy(F.desc(F.contains("body", "title")), "path")
-    by_day = dated.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("report_id", "path", F.lit("day").alias("matched_by"))
+    words = r"[^\p{L}\p{N}]+"
+    dated = files.select(F.substring("name", 1, 8).alias("day"), "path", "body")
+    days = dated.groupBy("day").agg(F.min("path").alias("_any"), F.min(F.struct(F.col("body").isNull().alias("n"), "path")).alias("_first"))
+    parts = F.split("title", words)
+    inner = F.when(F.size(parts) > 2, F.array_max(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    titles = reports.where("title <> ''").select("day", "title").distinct().withColumn("_word", F.coalesce(inner, F.lit("")))
+    bodies = dated.groupBy("day", "body").agg(F.min("path").alias("_held"))
+    bodies = bodies.withColumn("_word", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("body", words)))))
+    held = titles.join(bodies, ["day", "_word"]).where(F.contains("body", "title")).groupBy("day", "title").agg(F.min("_held").alias("_held"))
+    path = F.coalesce("_held", F.when(F.col("title").isNull(), F.col("_any")).otherwise(F.col("_first.path")))
+    by_day = reports.join(days, "day").join(held, ["day", "title"], "left").groupBy("report_id").agg(F.min(F.struct(F.col("_held").isNull().alias("n"), path.alias("path")))["path"].alias("path")).withColumn("matched_by", F.lit("day"))
     rest = reports.join(by_day, "report_id", "left_anti").withColumn("stub", F.substring("title", 1, 20)).where("length(stub) > 0")
     found = contained_terms(files, rest.select("report_id", "stub"), key="path", text="body", term="stub")
     by_title = found.groupBy("report_id").agg(F.min("path").alias("path")).withColumn("matched_by", F.lit("title"))

@@ -111,6 +111,19 @@ def name_match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", F.col("company").alias("n_name"), F.lit("nation").alias("matched"))
 
 
+@query("SELECT c_custkey, n_name, 'nation' AS matched FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def name_match_cascade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name_match_cascade over all customers."""
+    nation = table(spark, sf_dir, "nation")
+    cust = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    spaced = F.when(F.col("c_custkey") % 2 == 0, F.concat("n_name", F.lit("우"))).otherwise(F.regexp_replace("n_name", r"(.)(.)", "$1 $2"))
+    names = cust.select("c_custkey", "n_name", spaced.alias("name"))
+    found = joins.match_names(names.select("name").distinct(), nation.select(F.col("n_name").alias("corp_name"), F.col("n_nationkey").cast("string").alias("corp_code")))
+    codes = nation.select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("company"))
+    out = names.join(found, "name").join(F.broadcast(codes), "code").where("company = n_name")
+    return out.select("c_custkey", F.col("company").alias("n_name"), F.lit("nation").alias("matched"))
+
+
 @query("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(lower(d.text), lower(b.text))")
 def alias_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item verbatim, found by an equality join on words."""
@@ -133,6 +146,32 @@ def prefix_or_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.prefix_or_title(reports, files).select("report_id", "path", "matched_by")
 
 
+@query(
+    "WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, o_orderpriority AS title, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS path FROM orders), f AS (SELECT day, min(path) AS first_path FROM o GROUP BY day), "
+    "b AS (SELECT day, title AS body, min(path) AS path FROM o GROUP BY 1, 2), t AS (SELECT day, title, min(b.path) AS held_path FROM (SELECT DISTINCT day, title FROM o) JOIN b USING (day) WHERE contains(body, title) GROUP BY 1, 2) "
+    "SELECT o_orderkey AS report_id, coalesce(held_path, first_path) AS path, CASE WHEN first_path IS NOT NULL THEN 'day' END AS matched_by FROM o LEFT JOIN f USING (day) LEFT JOIN t USING (day, title)"
+)
+def prefix_or_title_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as reports and as files, each report with the file of its day and, if there is one, of its priority."""
+    orders = table(spark, sf_dir, "orders")
+    day, path = F.date_format("o_orderdate", "yyyyMMdd"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")
+    reports = orders.select(F.col("o_orderkey").alias("report_id"), day.alias("day"), F.col("o_orderpriority").alias("title"))
+    files = orders.select(path.alias("path"), F.concat(day, F.lit("_"), path).alias("name"), F.col("o_orderpriority").alias("body"))
+    return joins.prefix_or_title(reports, files).select("report_id", "path", "matched_by")
+
+
+@query(
+    "SELECT item_id AS report_id, min(lpad(CAST(doc_id AS VARCHAR), 9, '0')) AS path, CASE WHEN count(doc_id) > 0 THEN 'title' END AS matched_by "
+    "FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, 20))) GROUP BY item_id"
+)
+def title_match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as reports without a file of their day, each with the first document that holds the start of its text."""
+    reports = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("report_id"), F.lit("none").alias("day"), F.col("text").alias("title"))
+    path = F.lpad(F.col("doc_id").cast("string"), 9, "0")
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), path.alias("name"), F.col("text").alias("body"))
+    return joins.prefix_or_title(reports, files).select("report_id", "path", "matched_by")
+
+
 @query("SELECT conv_id, turn, lag(text) OVER w AS prev_context, lead(text) OVER w AS next_context FROM (SELECT conv_id, turn, CASE WHEN len(string_split(text, ' ')) > 100 THEN array_to_string(string_split(text, ' ')[1:100], ' ') || '...' ELSE text END AS text FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def context_window_lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.neighbours(table(spark, sf_dir, "conversations"), partition=["conv_id"], order=["turn"]).select("conv_id", "turn", "prev_context", "next_context")

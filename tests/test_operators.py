@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from brinework.catalog import QUERIES
 from brinework.operators import chunking, context, dedupe, joins, rerank, search, sequences, sft, structured
 from brinework.operators import metrics as M
 from brinework.plans import corpus
@@ -24,6 +25,20 @@ def test_name_cascade(spark):
     assert [got[k][1] for k in ("현대차", "한 빛", "한빛우")] == [2, 3, 4]
 
 
+def test_files_of_the_day_by_title_then_path(spark):
+    reports = spark.createDataFrame([(1, "20240101", "net sales of steel"), (2, "20240101", "no such"), (3, "20240101", None), (4, "20240102", "sales of"), (5, "20240103", "Profit of the year before"), (6, "20240103", "")], "report_id int, day string, title string")
+    files = spark.createDataFrame([("a", "20240101_a", None), ("b", "20240101_b", "other"), ("c", "20240101_c", "the net sales of steelworks"), ("d", "20240102_d", "x"), ("e", "20240102_e", "all sales offered"), ("f", "note", "the profit of the year beforehand")], "path string, name string, body string")
+    got = {r.report_id: (r.path, r.matched_by) for r in joins.prefix_or_title(reports, files).collect()}
+    assert got == {1: ("c", "day"), 2: ("b", "day"), 3: ("a", "day"), 4: ("e", "day"), 5: ("f", "title"), 6: (None, None)}
+
+
+def test_matches_run_over_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    assert QUERIES["name_match_cascade_all"](spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert QUERIES["prefix_or_title_match_all"](spark, sf).where("matched_by = 'day'").count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert QUERIES["title_match_documents"](spark, sf).where("matched_by = 'title'").count() > 0
+
+
 def test_question_companies_by_alias_and_ticker(spark):
     q = spark.createDataFrame([("Q1", "한 빛 전자의 매출"), ("Q2", "005930 실적"), ("Q3", "아무것도")], "query_id string, question string")
     c = spark.createDataFrame([("한빛전자", "111111"), ("한빛", "111111"), ("삼성", "005930")], "alias string, ticker string")
