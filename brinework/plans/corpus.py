@@ -42,13 +42,18 @@ def normalise(blocks: DataFrame) -> DataFrame:
 
 
 def chunk(blocks: DataFrame, *, budget: int = 7000, merge: bool = True) -> DataFrame:
-    """Split, merged, numbered chunks with context and metadata."""
+    """Split, merged, numbered chunks with context and metadata.
+
+    Chunks are put in order by line and part; ``seq`` is a long, 100,000 times
+    the line plus the part.
+    """
     parts = split_rows(blocks.select("doc_id", "seq", "section_path", "chunk_type", "text"), adaptive_splitter)
-    parts = parts.withColumn("seq", F.col("seq") * 100_000 + F.col("split_index")).withColumn("text", F.col("part")).drop("part")
+    parts = parts.withColumn("seq", F.struct("seq", "split_index")).withColumn("text", F.col("part")).drop("part")
     if merge:
         parts = merge_small(parts, budget=budget)
     parts = ordinal_ids(parts, document="doc_id", kind="chunk_type", section="section_path", order=["seq"])
     parts = neighbours(parts, partition=["doc_id"], order=["seq"])
+    parts = parts.withColumn("seq", F.col("seq.seq").cast("long") * 100_000 + F.col("seq.split_index"))
     return with_chunk_metadata(parts.withColumn("document_name", F.col("section_path")))
 
 

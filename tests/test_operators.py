@@ -146,6 +146,16 @@ def test_corpus_keeps_tables_and_prose(spark):
     assert {r.data_category for r in rows} == {"financial_statement"}
 
 
+def test_corpus_orders_texts_of_many_lines(spark):
+    body = "\n".join(["The first paragraph."] + [""] * 29_998 + ["The last paragraph."])
+    rows = corpus.build(spark.createDataFrame([("d1", body)], "doc_id string, body string")).orderBy("seq").collect()
+    assert rows[0].text.startswith("The first") and rows[-1].text.endswith("The last paragraph.")
+    blocks = spark.createDataFrame([("d1", i, f"s{i}", "text", f"block {i}") for i in (29_999, 0, 21_474, 21_475)], "doc_id string, seq int, section_path string, chunk_type string, text string")
+    for merge in (True, False):
+        rows = corpus.chunk(blocks, merge=merge).orderBy("seq").collect()
+        assert [(r.seq, r.text) for r in rows] == [(i * 100_000, f"block {i}") for i in (0, 21_474, 21_475, 29_999)]
+
+
 def test_train_test_split_ignores_partitioning(spark):
     rows = spark.range(500)
     one, two = (sft.train_test(df, "id").where("split = 'test'").select("id").toPandas().id.tolist() for df in (rows.repartition(1), rows.repartition(7)))
