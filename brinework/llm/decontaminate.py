@@ -40,16 +40,46 @@ def _long(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame
     return one.select(*keep, "at", F.explode(F.array(*[F.col(f"s{k}") for k in range(len(masks))])).alias("seed"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, min_overlap: float = 0.8, window: int = 25, masks: tuple[str, ...] = MASKS, broadcast_seeds: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def _best(sums: Column, width: Column) -> Column:
+    """Largest sum of ``width`` neighbouring values, from the running sums."""
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.size(sums) - 1 - width), lambda i: F.get(sums, i + width) - F.get(sums, i)))
+
+
+def _running(values: Column) -> Column:
+    return F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def _aligned(near: Column, width: Column, gap: int) -> Column:
+    """Longest common subsequence of any window of the item and the document, within ``gap`` words of the shift.
+
+    ``near`` tells for each item word at which of the 2 * gap + 1 shifts it agrees.
+    """
+    n = 2 * gap + 1
+
+    def step(acc: Column, same: Column) -> Column:
+        reached = [F.get(acc, F.lit(d)) + F.get(same, F.lit(d)) for d in range(n)]
+        reached = [F.greatest(x, F.get(acc, F.lit(d + 1))) if d + 1 < n else x for d, x in enumerate(reached)]
+        return F.array(*[F.greatest(*reached[: d + 1]) if d else reached[0] for d in range(n)])
+
+    def window(i: Column) -> Column:
+        return F.aggregate(F.slice(near, i + 1, width), F.array(*[F.lit(0)] * n), step, lambda acc: F.element_at(acc, -1))
+
+    return F.array_max(F.transform(F.sequence(F.lit(0), F.size(near) - width), window))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, min_overlap: float = 0.8, window: int = 25, gap: int = 3, masks: tuple[str, ...] = MASKS, broadcast_seeds: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that contain a passage of a benchmark item.
 
     Returns one row per hit document: doc_id, item_ids (sorted), n_items,
     overlap (largest share of agreeing words).  A document is hit when, aligned
     at a seed hit, at least ``min_overlap`` of the words agree in some window of
-    the item: ``window`` words, or the whole item where it is shorter.
+    the item: ``window`` words, or the whole item where it is shorter.  So the
+    shortest partial quote that counts has 20 words of an item of 25 or more.
     Substituted words count as disagreeing; each alignment is verified, none is
-    capped.  Items shorter than the masks and null texts can't be hit.  Of
-    repeated ids one row is returned.
+    capped.  Where words are inserted or left out, the words that follow agree
+    at a shift up to ``gap`` words away; words of all these shifts are added up,
+    in order.  Items shorter than the masks and null texts can't be hit.  Of
+    repeated ids one row is returned; of rows without an id, one per text.
 
     The benchmark's hashes are broadcast if a count shows at most
     ``broadcast_seeds`` of them, else joined by a shuffle on the hash.  The
@@ -60,21 +90,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, min_overlap: float =
     small = seeds.count() <= broadcast_seeds
     side = F.broadcast(seeds) if small else seeds
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    read = rows.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
-    hits = _long(read, ["doc_id"], masks).join(side, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    # rows without an id are told apart by their text
+    rows = rows.withColumn("row", F.when(F.col("doc_id").isNull(), F.sha2("text", 256)))
+    read = rows.select("doc_id", "row", token_hashes(F.col("text")).alias("tokens"))
+    hits = _long(read, ["doc_id", "row"], masks).join(side, "seed").select("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = materialize(hits, "hits")
-    ids = hits.select("doc_id").distinct()
-    found = rows.join(F.broadcast(ids) if ids.count() <= 200_000 else ids, "doc_id", "left_semi")
-    found = found.select("doc_id", token_hashes(F.col("text")).alias("tokens")).distinct()
+    ids = hits.select(F.col("doc_id").alias("hit_id"), F.col("row").alias("hit_row")).distinct()
+    same_row = F.col("doc_id").eqNullSafe(F.col("hit_id")) & F.col("row").eqNullSafe(F.col("hit_row"))
+    found = rows.join(F.broadcast(ids) if ids.count() <= 200_000 else ids, same_row, "left_semi")
+    found = found.select("doc_id", "row", token_hashes(F.col("text")).alias("tokens")).distinct()
     dims = tests.select("item_id", F.col("tokens").alias("item"))
-    pairs = hits.join(found, "doc_id").join(F.broadcast(dims) if small else dims, "item_id")
-    item, shift = F.col("item"), F.col("shift")
-    lined = F.transform(item, lambda w, j: F.coalesce(((shift + j) >= 0) & (F.get(F.col("tokens"), F.greatest(shift + j, F.lit(0))) == w), F.lit(False)).cast("int"))
-    pairs = pairs.select("doc_id", "item_id", lined.alias("same"))
-    width = F.least(F.lit(window), F.size("same"))
-    sums = F.aggregate("same", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    pairs = pairs.select("doc_id", "item_id", width.alias("width"), sums.alias("sums"))
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("sums") - 1 - F.col("width")), lambda i: F.get(F.col("sums"), i + F.col("width")) - F.get(F.col("sums"), i)))
-    pairs = pairs.select("doc_id", "item_id", (best / F.col("width")).alias("overlap")).where(F.col("overlap") >= min_overlap)
-    items = pairs.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"))
-    return items.groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.count("*").alias("n_items"), F.max("overlap").alias("overlap"))
+    pairs = hits.withColumnsRenamed({"doc_id": "hit_id", "row": "hit_row"}).join(found, same_row).drop("hit_id", "hit_row").join(F.broadcast(dims) if small else dims, "item_id")
+
+    def agrees(w: Column, at: Column) -> Column:
+        return F.coalesce((at >= 0) & (F.get(F.col("tokens"), F.greatest(at, F.lit(0))) == w), F.lit(False)).cast("int")
+
+    shifts = [F.col("shift") + d for d in range(-gap, gap + 1)]
+    near = F.transform("item", lambda w, j: F.array(*[agrees(w, s + j) for s in shifts]))
+    pairs = pairs.select("doc_id", "row", "item_id", F.least(F.lit(window), F.size("item")).alias("width"), near.alias("near"))
+    straight = _running(F.transform("near", lambda x: F.get(x, F.lit(gap))))
+    bound = _running(F.transform("near", lambda x: F.array_max(x)))
+    width = F.col("width")
+    pairs = pairs.withColumns({"straight": straight, "bound": bound}).withColumns({"straight": _best(F.col("straight"), width), "bound": _best(F.col("bound"), width)})
+    # no alignment has more words than agree at any of its shifts
+    pairs = materialize(pairs.where(F.col("bound") / width >= min_overlap), "pairs")
+    best = F.when(F.col("bound") > F.col("straight"), _aligned(F.col("near"), width, gap)).otherwise(F.col("straight"))
+    pairs = pairs.select("doc_id", "row", "item_id", (best / width).alias("overlap")).where(F.col("overlap") >= min_overlap)
+    items = pairs.groupBy("doc_id", "row", "item_id").agg(F.max("overlap").alias("overlap"))
+    return items.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.count("*").alias("n_items"), F.max("overlap").alias("overlap")).drop("row")

@@ -34,8 +34,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage; null and empty texts and rows without an id stay."""
-    return drop_ids(docs, decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Documents without a benchmark passage; null and empty texts stay.
+
+    Rows without an id are judged by their text.
+    """
+    own = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.sha2("text", 256)))
+    keyed = docs.withColumn("_bw_id", F.col("doc_id")).withColumn("doc_id", own)
+    leaks = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drop_ids(keyed, leaks).withColumn("doc_id", F.col("_bw_id")).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

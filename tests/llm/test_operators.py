@@ -173,6 +173,19 @@ def test_contamination_tolerates_substitutions(spark):
     assert decontaminate.contamination(docs.limit(0), tests).count() == decontaminate.contamination(docs, tests.limit(0)).count() == 0
 
 
+def test_contamination_adds_up_shifts_and_judges_rows_without_an_id(spark):
+    words = [f"w{i}" for i in range(30)]
+    filler = " ".join(f"f{i}" for i in range(50))
+    item, more, less, short = " ".join(words), " ".join([*words[:15], "new", *words[15:]]), " ".join(words[:15] + words[16:]), " ".join(words[:19])
+    swapped = " ".join([*words[15:], *words[:15]])
+    docs = spark.createDataFrame([(1, f"{filler} {more}"), (2, f"{less} {filler}"), (3, f"{filler} {short} {filler}"), (4, swapped), (None, f"{filler} {item}"), (None, filler), (None, more)], "doc_id long, text string")
+    tests = spark.createDataFrame([(10, item)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, round(r.overlap, 2)) for r in decontaminate.contamination(docs, tests).collect())
+    assert got == [(0, 1.0), (0, 1.0), (1, 1.0), (2, 0.96)]
+    far = decontaminate.contamination(docs, tests, broadcast_seeds=0)
+    assert sorted((r.doc_id or 0, round(r.overlap, 2)) for r in far.collect()) == got
+
+
 def test_mixing_odd_rows(spark, odd):
     got = mixing.mix_sources(odd, units=4, fan_in=2).toPandas()
     assert len(got) == odd.count() and (got.taken <= 2 * got["size"]).all() and (got.taken[got["size"] == 0] == 0).all()

@@ -188,3 +188,10 @@ def test_mix_stage_takes_rows_without_an_id_and_repeated_rows(spark, docs):
     assert collections.Counter(map(key, got.collect())) == +want
     assert any(r.doc_id is None for r in got.collect())
     assert corpus_pipeline.mix(spark, frame.limit(0), SF).count() == 0
+
+
+def test_leaks_without_an_id_are_dropped(spark):
+    item = duckdb.sql(f"select text from '{SF}/benchmark.parquet' order by item_id limit 1").fetchall()[0][0]
+    frame = spark.createDataFrame([(None, f"before {item} after"), (None, "a clean text"), (None, None), (1, item), (2, "clean too")], "doc_id long, text string")
+    got = corpus_pipeline.drop_leaks(spark, frame, SF)
+    assert got.schema["doc_id"] == frame.schema["doc_id"] and {tuple(r) for r in got.collect()} == {(None, "a clean text"), (None, None), (2, "clean too")}
