@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names that may clash with columns of the caller are prefixed with this.
 PREFIX = "_bw_"
@@ -15,29 +18,59 @@ PREFIX = "_bw_"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint directory exists (a
-    single-machine test session) a temporary folder is created and set.
+    Only a local session without that setting and without a checkpoint
+    directory (as in tests) gets a temporary folder; on a cluster the setting
+    must be there.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="brinework-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
+#: Folders of intermediate tables, innermost :func:`scratch` last.
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside are deleted at the end; write what is to stay before."""
+    path = f"{shared_dir(spark)}/brinework/scratch-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    try:
+        yield path
+    finally:
+        _scratch.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     Cuts the lineage: a lost executor only costs a new read of these files.
+    They stay until the enclosing :func:`scratch` ends, or for good without one.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brinework/{name}-{uuid.uuid4().hex}"
+    folder = _scratch[-1] if _scratch else f"{shared_dir(spark)}/brinework"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def integer_id(df: DataFrame, name: str) -> Column:
+    """The id column as a long; ids of another type are refused, since results are ordered by id as a number."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{name} must be an integer column, not {kind.simpleString()}")
+    return F.col(name).cast("long")
+
+
 def grown(rows: int, least: int, each: int) -> int:
     """A number of parts that grows with the rows: about ``each`` rows a part, ``least`` parts at least."""
     return max(least, -(-rows // each))
@@ -84,14 +117,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     rows = rows.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_bw_text").limit(max_rows)
     got = rows.select("_bw_text", "_bw_y", *more).toArrow()
     return tuple(c.to_pylist() for c in got.columns)
-
-
-def drop_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
-    """``docs`` without the rows whose ``doc_id`` is in ``ids``.
-
-    The ids are broadcast only after a count shows at most ``broadcast_rows``
-    of them; more are joined by a shuffle on ``doc_id``.
-    """
-    ids = materialize(ids.select("doc_id").distinct(), "drop")
-    few = ids.count() <= broadcast_rows
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
