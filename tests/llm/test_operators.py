@@ -150,7 +150,7 @@ def test_exact_dedup_of_odd_rows(spark, odd, keep):
     assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("runs", "fan_in"), [(1, 2), (8, 2), (64, 8), (27, 3), (10, 4)])
+@pytest.mark.parametrize(("runs", "fan_in"), [(1, 2), (8, 2), (64, 8), (64, 4), (32, 4)])
 def test_every_tree_gives_the_same_groups(spark, runs, fan_in):
     rows = spark.range(600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 37).cast("string")).alias("text"))
     got = sorted(map(tuple, exact_dedup.exact_dedup(rows, runs=runs, fan_in=fan_in).select("doc_id", "keep_id", "group_size").collect()))
@@ -253,10 +253,67 @@ def test_near_copies_are_counted_across_blocks(spark, monkeypatch):
     assert {i: got.group_id[i] for i in texts} == group
 
 
-def test_prefixes_shorten_until_the_recall_is_met():
-    assert ngram_join.matched_depth(20, 8, 0.8, 0.999) == 5
-    assert 1 - (1 - 0.8**5) ** 20 >= 0.999 > 1 - (1 - 0.8**6) ** 20
-    assert ngram_join.matched_depth(1, 8, 0.8, 1.0) == 1
+def test_prefixes_shorten_until_the_recall_of_the_links_is_met():
+    share = ngram_join.found_share
+    assert ngram_join.matched_depth({0.8: 1.0}, 20, 8, 0.999) == 5 and share(0.8, 20, 5) >= 0.999 > share(0.8, 20, 6)
+    assert ngram_join.matched_depth({0.97: 50.0}, 20, 8, 0.999) == 8
+    assert ngram_join.matched_depth({0.97: 50.0, 0.8: 5.0}, 20, 8, 0.999) in (6, 7)
+    assert ngram_join.matched_depth({0.8: 1.0}, 1, 8, 1.0) == 1
+
+
+def near_texts(changes, n=40, words=200, seed=9):
+    rng, texts = random.Random(seed), {}
+    for i in range(n):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        copy = list(base)
+        for _ in range(changes):
+            copy[rng.randrange(words)] = f"z{rng.randrange(10**6)}"
+        texts |= {2 * i: " ".join(base), 2 * i + 1: " ".join(copy)}
+    return texts
+
+
+@pytest.mark.parametrize(("changes", "depths"), [(1, {8}), (4, {5, 6})])
+def test_depth_follows_the_data(spark, monkeypatch, changes, depths):
+    from tests.llm.test_queries import brute_links
+
+    used, plain = [], ngram_join.trie_members
+    monkeypatch.setattr(ngram_join, "trie_members", lambda forest, k, ranges: used.append(k) or plain(forest, k, ranges))
+    texts = near_texts(changes)
+    links, _ = brute_links(texts)
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert used[0] == 8 and used[-1] in depths
+    assert sum(got.values()) >= 0.99 * sum(links.values()) and all(got[i] <= links[i] for i in texts)
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 50])
+def test_trie_nodes_do_not_depend_on_ranges(spark, ranges):
+    rng = random.Random(4)
+    rows = [(t, bytes([rng.randrange(2) if j % 4 == 3 else 0 for j in range(16)]), i) for i in range(300) for t in range(2)]
+    rows += [(2, b"hot label 4567 8", i) for i in range(500)]
+    frame = spark.createDataFrame([(i, t, bytearray(x)) for t, x, i in rows], "id long, tree int, label binary")
+    forest = frame.repartitionByRange(ranges, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").withColumn("part", F.spark_partition_id())
+    from brinework.llm._shared import materialize
+
+    forest = materialize(forest, "test")
+    for used in (1, 2, 3, 4):
+        want = {}
+        for t, x, i in rows:
+            want.setdefault((t, x[: 4 * used]), set()).add(i)
+        got = {}
+        for r in ngram_join.trie_members(forest, used, ranges).collect():
+            got.setdefault((r.node, r.hub), set()).add(r.id)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+        assert all(hub == min(v) or hub in v for (_, hub), v in got.items())
+
+
+def test_two_texts_of_one_id_keep_their_links(spark):
+    a, b = near_texts(2, n=2, seed=3), near_texts(2, n=2, seed=4)
+    rows = [(7, a[0]), (7, b[0]), (8, a[1]), (9, b[1]), (None, a[2]), (None, a[3]), (20, a[3])]
+    for order in (rows, [rows[1], rows[3], rows[0], rows[2], *rows[4:]]):
+        got = ngram_join.ngram_join(spark.createDataFrame(order, "doc_id long, text string"))
+        assert sorted((r.doc_id or 0, r.n_links, r.group_id, r.kept) for r in got.collect()) == [(0, 2, 20, False), (0, 2, 20, False), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False), (20, 2, 20, True)]
+    left = ngram_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(7, a[0]), (7, b[0]), (20, a[3])])
 
 
 def test_components(spark):
