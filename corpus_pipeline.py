@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brinework.llm import decontaminate, mixing, ngram_join, sharding, toxicity
-from brinework.llm._shared import drop_ids, materialize, shared_dir
+from brinework.llm._shared import materialize, scratch, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,22 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates.
 
-    Texts without words belong to no group and stay, as do rows without an id.
-    Rows that share an id count as one document: all stay or all go.
+    Texts without words belong to no group and stay.  A group none of whose
+    rows has an id keeps the rows of one text; rows that agree in id and
+    n-grams stay or go together.
     """
-    groups = ngram_join.ngram_join(docs)
-    return drop_ids(docs, groups.where(F.col("doc_id") != F.col("group_id")))
+    return ngram_join.without_near_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage; null and empty texts stay.
-
-    Rows without an id are judged by their text.
-    """
-    own = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.sha2("text", 256)))
-    keyed = docs.withColumn("_bw_id", F.col("doc_id")).withColumn("doc_id", own)
-    leaks = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return drop_ids(keyed, leaks).withColumn("doc_id", F.col("_bw_id")).select(docs.columns)
+    """Documents without a benchmark passage, judged by their text, with or without an id; null and empty texts stay."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,10 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each one's result is written to the shared folder and read again."""
+    """Apply all stages to ``documents``; each one's result is written to the shared folder and read again.
+
+    A stage's intermediate tables are deleted once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
