@@ -41,19 +41,49 @@ def match_names(names: DataFrame, companies: DataFrame, *, name: str = "name", c
     return names.select(F.col(name).alias("name")).distinct().join(found, "name", "left").select("name", F.col("m.code").alias("code"), F.col("m.step").alias("step"))
 
 
-def contained_terms(texts: DataFrame, terms: DataFrame, *, key: str, text: str, term: str) -> DataFrame:
-    """Pairs of a text (by its unique ``key``) and a term of whole words that it contains, case folded.
+_NO_WORD = r"[^\p{L}\p{N}]+"
 
-    Instead of comparing every text with every term, the distinct words of the
-    texts join the first words of the terms by equality; the texts are joined
-    back once for their candidate terms, which are then looked up in full.
+
+def contained_terms(texts: DataFrame, terms: DataFrame, *, key: str, text: str, term: str, broadcast_words: int = 500_000) -> DataFrame:
+    """Pairs of a text (by its unique ``key``) and a term that it contains, case folded; blank terms match nothing.
+
+    A word inside a term stands whole in every text that holds the term, so
+    terms meet texts by the one of these words that fewest texts have.  Terms
+    of one or two words meet the distinct words of the texts that hold their
+    longest word, by its first two characters; terms without a word meet texts
+    by their first character.  All pairs are then looked up in full.
     """
-    words = r"[^\p{L}\p{N}]+"
-    heads = terms.withColumn("_head", F.element_at(F.split(F.lower(F.col(term)), words), 1))
-    tokens = texts.select(key, F.array_distinct(F.split(F.lower(F.col(text)), words)).alias("_words")).select(key, F.explode("_words").alias("_head"))
-    candidates = tokens.join(heads, "_head").drop("_head")
-    hit = F.contains(F.lower(F.col(text)), F.lower(F.col(term)))
-    return texts.join(candidates, key).where(hit)
+    low = F.split(F.lower(F.col(term)), _NO_WORD)
+    filled = lambda c: F.filter(c, lambda w: w != "")
+    inner = filled(F.when(F.size(low) > 2, F.slice(low, F.lit(2), F.greatest(F.size(low) - 2, F.lit(0)))).otherwise(F.array().cast("array<string>")))
+    longest = F.array_max(F.transform(filled(low), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    marked = terms.where(F.col(term) != "").withColumns({"_inner": inner, "_piece": longest})
+    plain = [F.col(c) for c in terms.columns]
+    body = texts.select(key, F.lower(F.col(text)).alias("_text"))
+    words = body.select(key, F.explode(F.array_distinct(filled(F.split("_text", _NO_WORD)))).alias("_word"))
+
+    inside = marked.where(F.size("_inner") > 0).select(*plain, F.explode(F.array_distinct("_inner")).alias("_word"))
+    wanted = inside.select("_word").distinct()
+    small = wanted.count() <= broadcast_words
+    postings = words.join(F.broadcast(wanted) if small else wanted, "_word", "left_semi")
+    often = postings.groupBy("_word").agg(F.count("*").alias("_df"))
+    # a word that no text has rules its term out
+    rarest = inside.join(often, "_word", "left").groupBy(*plain).agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_word"))["_word"].alias("_word"))
+    candidates = postings.join(rarest, "_word").drop("_word")
+
+    short = marked.where((F.size("_inner") == 0) & F.col("_piece").isNotNull())
+    if not short.isEmpty():
+        pieces = short.select(*plain, "_piece", F.substring("_piece", 1, 2).alias("_gram"))
+        places = F.sequence(F.lit(1), F.length("_word"))
+        grams = F.array_distinct(F.concat(F.transform(places, lambda i: F.substring(F.col("_word"), i, F.lit(1))), F.transform(places, lambda i: F.substring(F.col("_word"), i, F.lit(2)))))
+        vocabulary = words.select("_word").distinct().withColumn("_gram", F.explode(grams))
+        held = vocabulary.join(pieces, "_gram").where(F.contains("_word", "_piece")).select("_word", *plain)
+        candidates = candidates.unionByName(words.join(held, "_word").drop("_word").distinct())
+    marks = marked.where(F.col("_piece").isNull())
+    if not marks.isEmpty():
+        signs = body.select(key, F.explode(F.array_distinct(F.split(F.regexp_replace("_text", r"[\p{L}\p{N}]+", ""), ""))).alias("_sign"))
+        candidates = candidates.unionByName(signs.join(marks.select(*plain, F.substring(term, 1, 1).alias("_sign")), "_sign").drop("_sign"))
+    return texts.join(candidates, key).where(F.contains(F.lower(F.col(text)), F.lower(F.col(term))))
 
 
 def question_companies(questions: DataFrame, companies: DataFrame, *, question: str = "question", alias: str = "alias", ticker: str = "ticker") -> DataFrame:
@@ -61,11 +91,12 @@ def question_companies(questions: DataFrame, companies: DataFrame, *, question:
 
     The company table is a dimension with one row per alias; of several
     aliases of one company the longest that fits counts.  Aliases are matched
-    by their first two characters against the question's two-grams, then in full.
+    by their first two characters (or the only one) against those of the question, then in full.
     """
     bare = F.lower(F.regexp_replace(F.col(question), r"\s+", ""))
     short = F.lower(F.regexp_replace(F.col(alias), r"\s+", ""))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(2))))
+    two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(2)))
+    grams = F.array_distinct(F.concat(two, F.split(bare, "")))
     q = questions.select("*", bare.alias("_bare"), F.explode(grams).alias("_gram"))
     names = companies.select("*", short.alias("_short"), F.substring(short, 1, 2).alias("_gram"))
     by_name = q.join(names, "_gram").where(F.contains("_bare", "_short")).drop("_gram", "_bare", "_short")
@@ -88,7 +119,7 @@ def prefix_or_title(reports: DataFrame, files: DataFrame) -> DataFrame:
     the title, which a body that holds the title holds as a whole word; titles
     of one or two words meet all bodies of their day.
     """
-    words = r"[^\p{L}\p{N}]+"
+    words = _NO_WORD
     dated = files.select(F.substring("name", 1, 8).alias("day"), "path", "body")
     days = dated.groupBy("day").agg(F.min("path").alias("_any"), F.min(F.struct(F.col("body").isNull().alias("n"), "path")).alias("_first"))
     parts = F.split("title", words)

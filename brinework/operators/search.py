@@ -87,19 +87,23 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def keyword_search(chunks: DataFrame, queries: DataFrame, *, k: int | None = None, id_col: str = "chunk_id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
+def keyword_search(chunks: DataFrame, queries: DataFrame, *, k: int | None = None, broadcast_words: int = 500_000, id_col: str = "chunk_id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
     """(query_id, id, score, rank) of the chunks that hold every word of a query.
 
     The score is the number of occurrences of the query's words per word of the
-    chunk.  Chunk words join query words by equality; chunk words are counted
-    within their chunk first, and words of no query drop out at the join.
+    chunk.  Chunk words join query words by equality.  Words of no query drop
+    out before anything is shuffled: the distinct query words are broadcast
+    where a count shows at most ``broadcast_words``, else semi-joined.
     """
     words = tokens(F.col(text))
     wanted = queries.select(query_id, F.array_distinct(tokens(F.col(query))).alias("_w")).where("size(_w) > 0")
     wanted = wanted.select(query_id, F.size("_w").alias("_need"), F.explode("_w").alias("_word"))
     # the words are split below the explode, and only their count is carried along
     split = chunks.select(id_col, words.alias("_words")).select(id_col, F.size("_words").alias("_len"), "_words")
-    counts = split.select(id_col, "_len", F.explode("_words").alias("_word")).groupBy(id_col, "_len", "_word").agg(F.count("*").alias("_tf"))
+    vocabulary = wanted.select("_word").distinct()
+    small = vocabulary.count() <= broadcast_words
+    asked = split.select(id_col, "_len", F.explode("_words").alias("_word")).join(F.broadcast(vocabulary) if small else vocabulary, "_word", "left_semi")
+    counts = asked.groupBy(id_col, "_len", "_word").agg(F.count("*").alias("_tf"))
     hits = counts.join(wanted, "_word").groupBy(query_id, id_col, "_len", "_need").agg(F.count("*").alias("_got"), F.sum("_tf").alias("_tf"))
     scored = hits.where("_got = _need").select(query_id, id_col, (F.col("_tf") / F.col("_len")).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)))

@@ -24,7 +24,8 @@ def value(v):
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
     if isinstance(v, (float, np.floating)):
-        return repr(float(v))
+        # pandas holds integers of a column with nulls as floats
+        return str(int(v)) if float(v).is_integer() else repr(float(v))
     return str(int(v)) if isinstance(v, (int, np.integer)) else str(v)
 
 
