@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinework.llm import _bytes as B
-from brinework.llm._shared import held_out, materialize
+from brinework.llm._shared import held_out, integer_id, materialize
 
 ORDER = 3
 #: Never a byte of UTF-8: stands before and after each text.
@@ -225,7 +225,7 @@ def lm_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, frequent
     probability of the lower-cased bytes and an end under the PPM model), and
     bytes.  Null texts count as empty: one end token.  With no training text
     every byte is equally likely.  Each row is scored on its own, repeated rows
-    too; null ids are learned from.
+    too; null ids are learned from.  Ids are integers.
 
     Word counts are shuffled by word.  Counts of the at most ``frequent_words``
     most frequent words are broadcast and applied in place; all other words of
@@ -237,8 +237,8 @@ def lm_scores(docs: DataFrame, *, modulus: int = 7, remainder: int = 2, frequent
     bounds don't change a result.
     """
     spark = docs.sparkSession
-    row = F.xxhash64(F.col(doc_id), F.col(text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(integer_id(docs, doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    row = F.xxhash64("doc_id", "text")
     part = materialize(rows.where(~held_out("doc_id", modulus, remainder)).select("text").mapInArrow(_train, "word string, hash long, n long"), "counts")
     words = materialize(part.where(F.col("word").isNotNull()).groupBy("word").agg(F.first("hash").alias("hash"), F.sum("n").alias("n")), "words")
     totals = words.agg(F.sum("n"), F.count("*")).first()
