@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brinework.llm import _bytes as B
 from brinework.llm._convnet import Adagrad, Bank, softmax
-from brinework.llm._shared import hash_sample, held_out, id_crc, materialize
+from brinework.llm._shared import held_out, id_crc, materialize
 from brinework.llm.quality import lay_out
 
 #: Given for texts without a letter.
@@ -72,34 +72,33 @@ def predict_block(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -
     return p.argmax(1), p.max(1)
 
 
-def fit(docs: DataFrame, *, max_rows: int = 1500, max_bytes: int = 1 << 14, modulus: int = 4, remainder: int = 2) -> LanguageModel:
+def fit(docs: DataFrame, *, max_rows: int = 1500, least: int = 4, max_bytes: int = 1 << 14, modulus: int = 4, remainder: int = 2) -> LanguageModel:
     """Train on at most ``max_rows`` texts with a language whose id hash is not held out.
 
-    An equal share of the sample is taken of each language, in order of a
-    hash of the id.  ``max_bytes`` and ``max_rows`` bound the sample only.  The
-    256 most frequent languages can be learned.
+    Every language is learned: an equal share of the sample is taken of each,
+    in order of a hash of the id, and ``least`` texts where that is more, so
+    the sample has at most max(max_rows, least * languages) texts.  Both bounds
+    and ``max_bytes`` hold for fitting only.  Repeated rows count as one.
     """
-    able = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id", modulus, remainder) & F.octet_length("text").between(1, max_bytes))
-    known = materialize(able.select("doc_id", "lang"), "languages")
-    names = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()]
-    each = max(1, max_rows // max(1, len(names)))
-    texts: list[bytes] = []
-    langs: list[str] = []
-    picks = None
-    for name in names:
-        ids = hash_sample(known.where(F.col("lang") == name), ["doc_id"], each)
-        picks = ids if picks is None else picks.unionAll(ids)
-    if picks is not None:
-        rows = able.join(F.broadcast(picks.distinct()), ["doc_id", "lang"]).orderBy(id_crc("doc_id"), "doc_id", "text").limit(max_rows).select("text", "lang").toArrow()
-        texts, langs = [x.encode() for x in rows.column("text").to_pylist()], rows.column("lang").to_pylist()
-    return train(texts, langs)
+    able = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id", modulus, remainder) & F.octet_length("text").between(1, max_bytes)).select("doc_id", "lang", "text")
+    known = materialize(able.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max(least, max_rows // max(1, known.count()))
+    # a first cut by the hash leaves a few times as many rows, so ordering those of a language is a small task
+    mark = F.xxhash64("doc_id", "text")
+    cut = F.pmod(mark, F.greatest(F.lit(1), F.floor(F.col("n") / (4 * each)))) == 0
+    some = able.join(F.broadcast(known), "lang").where(cut).dropDuplicates(["doc_id", "lang", "text"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(mark, "doc_id", "text"))
+    rows = some.withColumn("place", place).where(F.col("place") <= each)
+    rows = rows.orderBy(id_crc("doc_id"), "doc_id", "lang", "text").select("text", "lang").toArrow()
+    return train([x.encode() for x in rows.column("text").to_pylist()], rows.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
     """``docs`` with the predicted language and its probability.
 
-    Null texts and texts without a letter are ``und`` with score 0.  All
-    columns stay; columns that bear the two new names are replaced.
+    Null texts and texts without a letter are ``und`` with score 0; of equally
+    likely languages the first by name is given.  Repeated rows are predicted
+    alike.  All columns stay; columns that bear the two new names are replaced.
     """
     docs = docs.drop(lang_col, score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
