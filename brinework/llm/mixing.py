@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinework.llm._bytes import mix
-from brinework.llm._shared import PREFIX, grown, materialize
+from brinework.llm._shared import PREFIX, grown, integer_id, materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
 ID, SOURCE, SIZE, MASS, COPIES, UNIT, LEVEL = (PREFIX + x for x in ("id", "source", "size", "mass", "copies", "unit", "level"))
@@ -142,6 +142,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     The taken words of a source differ from its target by less than one
     document.  Null sources form a source of their own; documents without words
     are taken 0 times; repeated rows are rounded each on its own; reruns agree.
+    Ids are integers.
 
     The rows are dealt over ``units`` by a hash of the id and rounded there in
     one pass that holds one open row for each source.  Longer documents come
@@ -150,7 +151,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     There are 512 units, and more from half a million rows a unit on.
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(doc_id).cast("long").alias(ID), F.col(source).cast("string").alias(SOURCE), row_key(doc_id, text, source).alias(PREFIX + "key"), size.alias(SIZE))
+    rows = docs.select(integer_id(docs, doc_id).alias(ID), F.col(source).cast("string").alias(SOURCE), row_key(doc_id, text, source).alias(PREFIX + "key"), size.alias(SIZE))
     rows = materialize(rows, "sizes")
     units = units or grown(rows.count(), 512, 500_000)
     targets = materialize(source_targets(rows.groupBy(SOURCE).agg(F.sum(SIZE).alias("source_size")), weights, share, most), "targets")

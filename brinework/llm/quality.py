@@ -117,7 +117,7 @@ def score(docs: DataFrame, model: QualityModel, *, text: str = "text", score_col
     """``docs`` with the probability that each whole text is of good quality.
 
     Null texts count as empty; an empty text gets the score of one empty chunk.
-    All columns of ``docs`` stay; one that bears the new name is replaced.
+    Repeated rows are scored alike.  All columns of ``docs`` stay; one that bears the new name is replaced.
     """
     docs = docs.drop(score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
