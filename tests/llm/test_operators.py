@@ -186,6 +186,41 @@ def test_contamination_adds_up_shifts_and_judges_rows_without_an_id(spark):
     assert sorted((r.doc_id or 0, round(r.overlap, 2)) for r in far.collect()) == got
 
 
+def test_no_pattern_of_substitutions_escapes(spark):
+    """Items of 1 to 40 words: every allowed pattern of short ones, drawn patterns of long ones."""
+    from itertools import combinations
+
+    rng, items, docs, want = random.Random(1), [], [], set()
+    for m in (1, 2, 4, 5, 6, 7, 8, 10, 15, 24, 25, 40):
+        words = [f"q{m}x{i}" for i in range(m)]
+        items.append((m, " ".join(words)))
+        k = int(min(m, 25) * 0.2 + 1e-9)
+        for pattern in list(combinations(range(m), k)) if m <= 10 else [rng.sample(range(m), k) for _ in range(40)]:
+            text = ["other" if i in pattern else w for i, w in enumerate(words)]
+            want.add((len(docs), m))
+            docs.append((len(docs), " ".join([f"f{rng.randrange(99)}" for _ in range(9)] + text + ["g"] * 3)))
+        if 1 < m < 25:
+            more = rng.sample(range(m), k + 1)
+            docs.append((len(docs), " ".join("zz" if i in more else w for i, w in enumerate(words))))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, i) for r in decontaminate.contamination(*frames).collect() for i in r.item_ids} == want
+
+
+def test_a_long_item_is_verified_in_linear_work(spark):
+    rng = random.Random(2)
+    item = " ".join(f"w{rng.randrange(3000)}" for _ in range(5000))
+    docs = spark.createDataFrame([(1, f"{'x ' * 50}{item}{' y' * 20}"), (2, None), (3, ""), (None, item), (1, "another text"), (1, item)], "doc_id long, text string")
+    tests = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, "one two")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.overlap) for r in decontaminate.contamination(docs, tests).collect()) == [(0, 1.0), (1, 1.0), (1, 1.0)]
+    assert sorted(r.text or "" for r in decontaminate.clean(docs, tests).collect()) == ["", "", "another text"]
+
+
+def test_contamination_of_odd_rows(spark, odd):
+    tests = spark.createDataFrame([(1, "no id here at all"), (2, None)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.contamination(odd, tests).collect()] == [None]
+    assert decontaminate.clean(odd, tests).columns == odd.columns and decontaminate.clean(odd, tests).count() == odd.count() - 1
+
+
 def test_mixing_odd_rows(spark, odd):
     got = mixing.mix_sources(odd, units=4, fan_in=2).toPandas()
     assert len(got) == odd.count() and (got.taken <= 2 * got["size"]).all() and (got.taken[got["size"] == 0] == 0).all()
@@ -395,6 +430,57 @@ def test_permutation_is_one(spark, rows):
     assert got == list(range(rows))
 
 
+def test_permutation_equals_a_plain_feistel_network(spark):
+    import xxhash
+
+    def mixed(y, k, seed):
+        h = 42
+        for raw in (y.to_bytes(8, "little"), k.to_bytes(4, "little"), seed.to_bytes(4, "little")):
+            h = xxhash.xxh64_intdigest(raw, h)
+        return h - (1 << 64) if h >> 63 else h
+
+    for rows in (5, 97, 1000):
+        a, b = sharding.domain(rows)
+
+        def place(n):
+            while True:
+                x, y = divmod(n, b)
+                for k in range(sharding.ROUNDS):
+                    x, y = y, (x + mixed(y, k, 5) % (a if k % 2 == 0 else b)) % (a if k % 2 == 0 else b)
+                n = x * b + y
+                if n < rows:
+                    return n
+
+        got = spark.range(rows).select("id", sharding.permuted(F.col("id"), rows, 5).alias("p")).collect()
+        assert all(r.p == place(r.id) for r in got)
+
+
+def test_other_column_names_and_ids_that_are_no_integers(spark):
+    named = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "id long, body string")
+    assert lm_score.lm_scores(named, doc_id="id", text="body").count() == 2
+    texts = spark.createDataFrame([("x", "a b c", "s")], "doc_id string, text string, source string")
+    for call in (exact_dedup.exact_dedup, ngram_join.ngram_join, lm_score.lm_scores, mixing.mix_sources):
+        with pytest.raises(TypeError, match="integer"):
+            call(texts)
+
+
+def test_every_language_is_learned(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id") % 300).alias("text"), F.concat(F.lit("l"), F.col("id") % 300).alias("lang"))
+    assert len(lang_id.fit(rows).langs) == 300
+
+
+def test_intermediate_tables_go_with_their_scratch(spark):
+    import os
+
+    from brinework.llm._shared import scratch
+
+    with scratch(spark) as path:
+        assert exact_dedup.exact_dedup(spark.createDataFrame([(1, "a")], "doc_id long, text string"), runs=2, fan_in=2).count() == 1
+        local = path.removeprefix("file:")
+        assert os.path.isdir(local)
+    assert not os.path.exists(local)
+
+
 def test_shards_do_not_depend_on_partitions(spark, odd):
     rows = odd.unionByName(spark.range(100, 300).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"), *[F.lit(None).alias(c) for c in ("lang", "source", "n_chars", "shard", "_bw_id", "score")]))
     one, two = (sorted((r.doc_id or -1, r.shard, r.slot) for r in sharding.shard(df, 7).collect()) for df in (rows.repartition(1), rows.repartition(9)))
