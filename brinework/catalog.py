@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from brinework.queries import ORACLES, QUERIES, datasets, evaluation, relational, retrieval, texts
+from brinework.queries import ORACLES, QUERIES, datasets, evaluation, forms, relational, retrieval, texts
 
-__all__ = ["ORACLES", "QUERIES", "datasets", "evaluation", "relational", "retrieval", "texts"]
+__all__ = ["ORACLES", "QUERIES", "datasets", "evaluation", "forms", "relational", "retrieval", "texts"]

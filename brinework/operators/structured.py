@@ -109,3 +109,31 @@ def sentence(section: str | Column, data: str | Column) -> Column:
     # one-element arrays name what is used more than once, so it is worked out once
     out = F.transform(F.transform(F.filter(F.array(form), lambda f: f.isNotNull()), said), built)
     return F.coalesce(F.try_element_at(out, F.lit(1)), F.nullif(pairs_text(d), F.lit("")))
+
+
+#: The header that is told apart where it stands more than once, and its first two names.
+REPEATED_HEADER, HEADER_NAMES = "구 분", ("구 분(대)", "구 분(소)")
+
+
+def merged_header(first: Column, second: Column, first_is_head: Column, second_is_head: Column) -> Column:
+    """struct<header, merged> of a table's two first rows, each with a flag per cell.
+
+    Where at least half of the cells of both rows are header cells they become
+    one header: the second row's text where it has any, else the first's, and
+    the first two of a repeated 구 분 get names of their own.  Otherwise, or
+    without a second row, the header is the first row.
+    """
+
+    def heads(flags: Column) -> Column:
+        return F.coalesce((F.size(flags) > 0) & (F.size(F.filter(flags, lambda f: f)) * 2 >= F.size(flags)), F.lit(False))
+
+    def filled(c: Column) -> Column:
+        return F.when(F.trim(c) != "", c)
+
+    both = second.isNotNull() & heads(first_is_head) & heads(second_is_head)
+    one = F.transform(F.arrays_zip(first.alias("a"), second.alias("b")), lambda p: F.coalesce(filled(p["b"]), filled(p["a"]), F.lit("")))
+    # told apart by place: positions of the repeated header, from one
+    same = F.transform(one, lambda c: F.regexp_replace(c, r"^구 {1,2}분$", REPEATED_HEADER))
+    at = F.filter(F.transform(same, lambda c, i: F.when(c == REPEATED_HEADER, i + 1)), lambda i: i.isNotNull())
+    named = F.transform(same, lambda c, i: F.when((F.size(at) > 1) & (i + 1 == F.try_element_at(at, F.lit(1))), HEADER_NAMES[0]).when(i + 1 == F.try_element_at(at, F.lit(2)), HEADER_NAMES[1]).otherwise(c))
+    return F.struct(F.when(both, named).otherwise(first).alias("header"), both.alias("merged"))
