@@ -15,6 +15,28 @@ DISCLAIMED = "투자 권유가 아니다"
 #: What stands around a preview when no answer was generated, and instead of one.
 NO_ANSWER = "죄송합니다. 모델이 답변을 생성하지 못했습니다. 다음 참고 내용을 확인해 주세요:\n\n```markdown\n"
 NO_CONTEXT = "죄송합니다. 현재 질문에 대한 답변을 생성하지 못했습니다. 잠시 후 다시 시도해 주세요."
+#: The rules of every answer, how to speak to each level, and the structure of its answer.
+RULES = (
+    "너는 금융 리서치 Q&A 보조원이다. 제공 컨텍스트 밖 추론 금지.\n"
+    "수치·날짜는 원문 근거로 정확히 재현하라.\n"
+    "반드시 답변 끝에 [ref: report_id, date]를 포함하고 필요 시 URL도 제시하라.\n"
+    "이 답변은 정보 제공 목적이며 투자 권유가 아니다.\n"
+)
+MANNERS = {
+    "beginner": "\n  사용자는 투자 초보자입니다.\n  어려운 용어를 쓰지 말고, 예시를 들어 쉽게 설명하세요.\n  ",
+    "intermediate": "\n  사용자는 기본적인 투자 용어를 알고 있습니다.\n  주요 수치(매출, 이익률 등)는 포함하되 설명은 간결하게 하세요.\n  ",
+    "advanced": "\n  사용자는 재무제표와 투자지표를 이해합니다.\n  구체적인 수치 비교와 추세 해석, 문서 근거를 함께 제시하세요.\n  ",
+}
+STRUCTURES = {
+    "beginner": "①핵심 요약(쉬운 용어) ②간단 예시 ③근거",
+    "intermediate": "①핵심 요약 ②핵심 수치·포인트 ③근거",
+    "advanced": "①핵심 결론 ②수치 비교/추세 해석 ③리스크·가정 ④근거",
+}
+#: The opening, the name of the query, the heading and the closing of a context by purpose.
+PURPOSES = {
+    "qa": ("다음 질문에 답하기 위해 관련 문서들을 검색했습니다:", "질문", "참고 문서들", "위 문서들을 참고하여 질문에 정확하고 상세하게 답변해주세요."),
+    "summarization": ("다음 주제에 대한 문서들을 요약해주세요:", "주제", "문서들", "위 문서들을 종합하여 핵심 내용을 요약해주세요."),
+}
 CITATION_FIELDS = ("report_id", "chunk_id", "title", "date", "url", "corp_name", "document_name", "rcept_dt")
 
 
@@ -78,6 +100,47 @@ def formatted(packed: DataFrame, *, style: str = "prompt", query_id: str = "quer
     return out.select(query_id, text.alias("context"), "n_documents", "avg_similarity", token_estimate(text, per_token=1.5).alias("tokens"))
 
 
+def purpose_context(results: DataFrame, purpose: str = "general", *, most: int = 3, query_id: str = "query_id", query: str = "query", content: str = "content") -> DataFrame:
+    """(query_id, context) for ``qa`` (the first ``most`` results with their similarity) or
+    ``summarization`` (all results), texts framed by fixed sentences; ``general`` is :func:`formatted`.
+
+    Results are taken in rank order, equal ranks by text; a null text counts as ''.
+    """
+    if purpose == "general":
+        packed = results if "packed" in results.columns else results.withColumn("packed", F.col(content))
+        return formatted(packed, query_id=query_id).select(query_id, "context")
+    if purpose not in PURPOSES:
+        raise ValueError(f"unknown purpose {purpose!r}")
+    lead, label, heading, closing = PURPOSES[purpose]
+    w = Window.partitionBy(query_id).orderBy("rank", content)
+    rows = results.withColumn("_n", F.row_number().over(w))
+    n, text = F.col("_n").cast("string"), F.coalesce(F.col(content), F.lit(""))
+    if purpose == "qa":
+        rows = rows.where(F.col("_n") <= most)
+        body = F.concat(n, F.lit(". (유사도: "), F.format_string("%.3f", F.coalesce(F.col("similarity").cast("double"), F.lit(0.0))), F.lit(") "), text, F.lit("\n\n"))
+    else:
+        body = F.concat(F.lit("[문서 "), n, F.lit("]\n"), text, F.lit("\n\n"))
+    found = rows.groupBy(query_id).agg(F.first(query).alias("_q"), F.sort_array(F.collect_list(F.struct(F.col("_n").alias("n"), body.alias("b")))).alias("_l"))
+    start = F.concat(F.lit(f"{lead}\n\n{label}: "), F.coalesce(F.col("_q"), F.lit("")), F.lit(f"\n\n{heading}:\n"))
+    return found.select(query_id, F.concat(start, F.array_join(F.transform("_l", lambda x: x["b"]), ""), F.lit(closing)).alias("context"))
+
+
+def system_prompt(level: str | Column) -> Column:
+    """The rules of an answer and how to speak to a user of the level; unknown levels count as beginner."""
+    return F.concat(F.lit(RULES + "\n"), _by_level(level, MANNERS, "beginner"))
+
+
+def user_prompt(question: str | Column, context: str | Column, level: str | Column) -> Column:
+    """Question, context and the answer's structure for the level; unknown levels count as intermediate."""
+    q, c = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in (question, context))
+    return F.concat(F.lit("질문: "), q, F.lit("\n\n[컨텍스트]\n"), c, F.lit("\n\n요구 형식: "), _by_level(level, STRUCTURES, "intermediate"))
+
+
+def _by_level(level: str | Column, texts: dict[str, str], otherwise: str) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.col(level) if isinstance(level, str) else level), F.lit(texts[otherwise]))
+
+
 def policy_facts(c: str | Column) -> Column:
     """struct<rates, limits, conditions> of the sentences about rates, limits and conditions."""
     parts = F.transform(F.split(F.col(c) if isinstance(c, str) else c, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s))

@@ -35,6 +35,11 @@ def delete_keys(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def delete_cascade(parents: DataFrame, gone: DataFrame, keys: list[str], *dependents: DataFrame) -> tuple[DataFrame, ...]:
+    """The table and its dependents, which carry its keys, without the rows whose keys are listed; rows with null keys stay."""
+    return tuple(delete_keys(t, gone, keys) for t in (parents, *dependents))
+
+
 def pending(rows: DataFrame, done: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows whose key is not among the done ones."""
     return rows.join(done.select(F.col(right_key).alias(left_key)), left_key, "left_anti")

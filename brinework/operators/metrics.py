@@ -195,3 +195,57 @@ def compare_models(results: DataFrame, *, model: str = "model", query_id: str =
     """Per model: queries, mean similarity, mean of the first and of the first three results."""
     each = results.groupBy(model, query_id).agg(F.avg(similarity).alias("a"), F.max(F.when(F.col(rank) == 1, F.col(similarity))).alias("t1"), F.avg(F.when(F.col(rank) <= 3, F.col(similarity))).alias("t3"))
     return each.groupBy(model).agg(F.count("*").alias("n_queries"), F.avg("a").alias("avg_similarity"), F.avg("t1").alias("avg_top1"), F.avg("t3").alias("avg_top3"))
+
+
+def timing_summary(runs: DataFrame, by: list[str] | None = None, *, error: str = "error", ms: str = "time_ms", found: str = "documents_found", similarity: str = "avg_similarity") -> DataFrame:
+    """Counts of all, successful and failed queries, and totals and means over the successful ones (0 without any).
+
+    A query failed if its ``error`` isn't null; a successful query without a value counts as 0.
+    """
+    ok = F.col(error).isNull()
+
+    def of(c: str) -> Column:
+        return F.when(ok, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+
+    def mean(c: str) -> Column:
+        return F.coalesce(F.avg(of(c)), F.lit(0.0))
+
+    return runs.groupBy(*(by or [])).agg(
+        F.count("*").alias("total_queries"),
+        F.count_if(ok).alias("successful_queries"),
+        F.count_if(~ok).alias("failed_queries"),
+        F.coalesce(F.sum(of(ms)), F.lit(0.0)).alias("total_time_ms"),
+        mean(ms).alias("avg_time_ms"),
+        mean(found).alias("avg_documents_per_query"),
+        mean(similarity).alias("avg_similarity"),
+    )
+
+
+def pipeline_summary(runs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many runs succeeded, were valid and grounded, and means over the successful ones.
+
+    ``runs``: error, valid, grounded, retrieved, citations, time_ms, faithfulness,
+    answer_relevancy, context_precision, context_recall.  A null counts as 0 or
+    false, but runs without a context_recall are left out of its mean, which is
+    null without any.
+    """
+    ok = F.col("error").isNull()
+
+    def yes(c: str) -> Column:
+        return F.count_if(ok & F.coalesce(F.col(c), F.lit(False)))
+
+    def mean(c: str) -> Column:
+        return F.coalesce(F.avg(F.when(ok, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))), F.lit(0.0))
+
+    means = ("retrieved", "citations", "time_ms", "faithfulness", "answer_relevancy", "context_precision")
+    return runs.groupBy(*(by or [])).agg(
+        F.count("*").alias("runs"), F.count_if(ok).alias("successful"), yes("valid").alias("valid"), yes("grounded").alias("grounded"),
+        *[mean(c).alias(f"avg_{c}") for c in means],
+        F.avg(F.when(ok, F.col("context_recall").cast("double"))).alias("avg_context_recall"),
+    )
+
+
+def failures(results: DataFrame, metrics: list[str], threshold: float = 0.5, *, query_id: str = "query_id") -> DataFrame:
+    """(query_id, metric, value) of all values below the threshold, nulls included."""
+    long = results.select(query_id, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m"))
+    return long.select(query_id, "m.*").where(F.col("value").isNull() | (F.col("value") < threshold))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinework.functions.text import keywords
+from brinework.functions.vectors import cosine, hashed_embedding
 
 #: A reranker adds or replaces ``score``; anything callable like this plugs in.
 Reranker = Callable[[DataFrame], DataFrame]
@@ -27,6 +28,13 @@ def position_score(index: str = "chunk_index") -> Column:
     return 1.0 / (1.0 + 0.1 * F.coalesce(F.col(index), F.lit(0)))
 
 
+def semantic_score(query: Column | None = None, content: Column | None = None, *, similarity: str = "similarity") -> Column:
+    """Cosine of the two vectors, by default of hashed keywords; the prior similarity where one is null."""
+    query = hashed_embedding(keywords("query"), 512) if query is None else query
+    content = hashed_embedding(keywords("content"), 512) if content is None else content
+    return F.coalesce(cosine(query, content), F.col(similarity))
+
+
 def blend(score: Column, weight: float, similarity: str = "similarity") -> Column:
     return (1.0 - weight) * F.col(similarity) + weight * score
 
@@ -58,6 +66,18 @@ def two_stage(candidates: DataFrame, scorer: Column, *, k: int = 5, multiplier:
     return rerank(standard(candidates, top=int(k * multiplier)), scorer, top=k)
 
 
+def semantic(candidates: DataFrame, *, query: Column | None = None, content: Column | None = None, weight: float = 0.4, top: int | None = None) -> DataFrame:
+    """Reranked by similarity and the cosine of newly encoded texts, which is kept as ``semantic_score``."""
+    rows = candidates.withColumn("semantic_score", semantic_score(query, content))
+    return rerank(rows, blend(F.col("semantic_score"), weight), top=top)
+
+
+def unchanged(candidates: DataFrame, *, top: int = 5, query_id: str = "query_id", prior: str = "rank") -> DataFrame:
+    """The first ``top`` candidates of each query as they are."""
+    w = Window.partitionBy(query_id).orderBy(prior)
+    return candidates.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top).drop("_n")
+
+
 def min_max(score: Column, query_id: str = "query_id") -> Column:
     """Scores of a query from 0 to 1; 0.5 where all are equal."""
     w = Window.partitionBy(query_id)

@@ -84,3 +84,9 @@ def unit_above(lines: DataFrame, *, document: str = "doc_id", order: str = "line
     w = Window.partitionBy(document).orderBy(order).rowsBetween(-within, -1)
     near = F.filter(F.transform(F.collect_list(F.coalesce(F.col(text), F.lit(""))).over(w), lambda t: F.regexp_extract(t, r"단위\s*[:：]?\s*([가-힣%]+)", 1)), lambda u: u != "")
     return lines.withColumn("_units", near).withColumn("unit", F.try_element_at("_units", F.lit(-1 if nearest else 1))).drop("_units")
+
+
+def rows_between(df: DataFrame, order: list[str | Column], *, offset: int = 0, most: int | None = None) -> DataFrame:
+    """``most`` rows from place ``offset`` in the order, which should be total; rows of equal keys are taken by chance."""
+    rows = df.orderBy(*order).offset(offset)
+    return rows if most is None else rows.limit(most)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinework.operators import chat
+from brinework.operators import chat, context
 from brinework.operators import metrics as M
 from brinework.operators import search
-from brinework.queries import query, table
+from brinework.queries import ORACLES, query, table
 from brinework.queries.retrieval import _CAND, _KW, _candidates
 from brinework.sources.writers import comparison
 
@@ -92,6 +92,45 @@ def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", *[F.round(c, 6).alias(k) for k, c in values.items()])
 
 
+_RATED = f"WITH am AS ({ORACLES['answer_metrics']}), {_TURNS}, u AS (SELECT conv_id, turn, q, a, CASE WHEN turn % 3 = 0 THEN 'failed' END AS error, faithfulness AS f, relevancy AS v, context_precision AS p, CASE WHEN turn > 0 THEN context_recall END AS r FROM t JOIN am USING (conv_id, turn))"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as pipeline runs, every third message as a failed one, with their answer metrics."""
+    rows = chat.turns(table(spark, sf_dir, "conversations")).join(answer_metrics(spark, sf_dir), ["conv_id", "turn"])
+    one, c = F.lit(1), F.col
+    valid = M.validity(one, one, c("text"), c("answer"), one, F.lit(0.9))["valid"]
+    return rows.select(
+        (c("conv_id") % 5).alias("part"), "conv_id", "turn", F.when(c("turn") % 3 == 0, "failed").alias("error"), valid.alias("valid"), context.grounded("answer").alias("grounded"), F.length("text").alias("retrieved"), F.regexp_count("answer", F.lit("a")).alias("citations"),
+        F.length("answer").alias("time_ms"), "faithfulness", c("relevancy").alias("answer_relevancy"), "context_precision", F.when(c("turn") > 0, c("context_recall")).alias("context_recall"),
+    )
+
+
+@query(
+    f"{_RATED} SELECT conv_id % 5 AS part, count(*) AS runs, count(*) FILTER (error IS NULL) AS successful, count(*) FILTER (error IS NULL AND length(q) >= 50 AND length(a) >= 10 AND NOT regexp_matches(lower(a), 'error|오류')) AS valid, count(*) FILTER (error IS NULL AND contains(a, '[ref:')) AS grounded, "
+    "round(coalesce(avg(length(q)) FILTER (error IS NULL), 0), 6) AS avg_retrieved, round(coalesce(avg(length(a) - length(replace(a, 'a', ''))) FILTER (error IS NULL), 0), 6) AS avg_citations, round(coalesce(avg(length(a)) FILTER (error IS NULL), 0), 6) AS avg_time_ms, "
+    "round(coalesce(avg(f) FILTER (error IS NULL), 0), 5) AS avg_faithfulness, round(coalesce(avg(v) FILTER (error IS NULL), 0), 5) AS avg_answer_relevancy, round(coalesce(avg(p) FILTER (error IS NULL), 0), 5) AS avg_context_precision, round(avg(r) FILTER (error IS NULL), 5) AS avg_context_recall FROM u GROUP BY 1"
+)
+def pipeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = {"retrieved": 6, "citations": 6, "time_ms": 6, "faithfulness": 5, "answer_relevancy": 5, "context_precision": 5, "context_recall": 5}
+    return M.pipeline_summary(_runs(spark, sf_dir), ["part"]).withColumns({f"avg_{k}": F.round(f"avg_{k}", n) for k, n in digits.items()})
+
+
+@query(
+    f"{_RATED} SELECT conv_id % 5 AS part, count(*) AS total_queries, count(*) FILTER (error IS NULL) AS successful_queries, count(*) FILTER (error IS NOT NULL) AS failed_queries, coalesce(sum(length(a)) FILTER (error IS NULL), 0)::DOUBLE AS total_time_ms, round(coalesce(avg(length(a)) FILTER (error IS NULL), 0), 6) AS avg_time_ms, "
+    "round(coalesce(avg(length(q)) FILTER (error IS NULL), 0), 6) AS avg_documents_per_query, round(coalesce(avg(f) FILTER (error IS NULL), 0), 5) AS avg_similarity FROM u GROUP BY 1"
+)
+def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.timing_summary(_runs(spark, sf_dir), ["part"], found="retrieved", similarity="faithfulness")
+    return out.withColumns({"avg_time_ms": F.round("avg_time_ms", 6), "avg_documents_per_query": F.round("avg_documents_per_query", 6), "avg_similarity": F.round("avg_similarity", 5)})
+
+
+@query(f"WITH am AS ({ORACLES['answer_metrics']}) SELECT conv_id || '_' || turn AS query_id, metric, value FROM (SELECT conv_id, turn, unnest(['faithfulness', 'relevancy']) AS metric, unnest([faithfulness, relevancy]) AS value FROM am) WHERE value IS NULL OR value < 0.5")
+def metric_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answer_metrics(spark, sf_dir).withColumn("query_id", F.concat_ws("_", "conv_id", "turn"))
+    return M.failures(rows, ["faithfulness", "relevancy"])
+
+
 @query("SELECT lang AS method, round(avg(length(text)), 4) AS avg_seconds, round(avg(quality), 6) AS avg_quality, count(DISTINCT doc_id) AS n_queries, avg(length(text)) = min(avg(length(text))) OVER () AS fastest, row_number() OVER (ORDER BY avg(quality) DESC, lang) = 1 AS best FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def method_compare_argbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("lang").alias("method"), F.length("text").alias("seconds"), "quality", F.col("doc_id").alias("query_id"))

@@ -264,3 +264,24 @@ def star_join_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where("o_orderdate >= '1996-01-01' and o_orderdate < '1998-01-01'")
     rows = table(spark, sf_dir, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return rows.groupBy("n_name", "o_orderpriority").agg(F.count("*").alias("n_orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT o_custkey, count(DISTINCT o_orderkey) AS orders, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY o_custkey")
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their lines after the finished orders are deleted, by customer."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    orders, lines = dedupe.delete_cascade(orders, orders.where("o_orderstatus = 'F'"), ["o_orderkey"], lines)
+    each = lines.groupBy("o_orderkey").agg(F.count("*").alias("lines"))
+    return orders.join(each, "o_orderkey", "left").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 25")
+def ordered_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty orders from the 26th by price."""
+    return sequences.rows_between(table(spark, sf_dir, "orders"), [F.desc("o_totalprice"), "o_orderkey"], offset=25, most=40).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT user_id, count(*) AS n, count(*) FILTER (value > 1) AS succeeded, count(*) FILTER (value IS NULL OR value <= 1) AS failed, count(*) FILTER (value > 1) > 0.5 * count(*) AS accepted FROM events GROUP BY user_id")
+def batch_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and bad rows of each batch, a batch being a user's events."""
+    return increments.tallied(table(spark, sf_dir, "events"), F.col("value") > 1, ["user_id"])

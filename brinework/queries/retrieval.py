@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brinework.functions.vectors import cosine, normalised
 from brinework.operators import context, rerank, search
+from brinework.plans import sql_functions
 from brinework.plans.answers import answer
 from brinework.queries import query, table
 
@@ -198,6 +199,17 @@ def rerank_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reranked(rerank.rerank(_candidates(spark, sf_dir), rerank.blend(rerank.position_score(), 0.1)))
 
 
+@query(
+    _rerank_sql("(1 - 0.4::DOUBLE) * sim + 0.4::DOUBLE * sem", base="s").replace(", r AS (", ", s AS (SELECT p.*, coalesce(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), sim) AS sem FROM p LEFT JOIN embeddings x ON x.vec_id = p.query_id LEFT JOIN embeddings y ON y.vec_id = p.chunk_id), r AS (", 1)
+)
+def rerank_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the vectors of item and document; the keyword score where one has none."""
+    emb = table(spark, sf_dir, "embeddings")
+    rows = _candidates(spark, sf_dir).join(emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id", "left")
+    rows = rows.join(emb.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("cv")), "chunk_id", "left")
+    return _reranked(rerank.semantic(rows, query=F.col("qv"), content=F.col("cv")))
+
+
 _COMBINED = "(0.5::DOUBLE * sim + 0.5::DOUBLE * 0.6::DOUBLE * kws + 0.5::DOUBLE * 0.2::DOUBLE * lens + 0.5::DOUBLE * 0.2::DOUBLE * poss)"
 
 
@@ -241,6 +253,53 @@ def context_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.formatted(_packed(spark, sf_dir), style="markdown").select("query_id", "n_documents", F.round("avg_similarity", 6).alias("avg_similarity"))
 
 
+_SUMMARY, _QA = context.PURPOSES["summarization"], context.PURPOSES["qa"]
+
+
+@query(
+    f"{_CAND} SELECT query_id, md5('{_SUMMARY[0]}' || chr(10) || chr(10) || '{_SUMMARY[1]}: ' || any_value(query) || chr(10) || chr(10) || '{_SUMMARY[2]}:' || chr(10) || string_agg('[문서 ' || rank || ']' || chr(10) || content || chr(10) || chr(10), '' ORDER BY rank) || '{_SUMMARY[3]}') AS summarization, "
+    f"md5('{_QA[0]}' || chr(10) || chr(10) || '{_QA[1]}: ' || any_value(query) || chr(10) || chr(10) || '{_QA[2]}:' || chr(10) || string_agg(rank || '. (유사도: ' || format('{{:.3f}}', round(sim, 3)) || ') ' || content || chr(10) || chr(10), '' ORDER BY rank) FILTER (rank <= 3) || '{_QA[3]}') AS qa FROM p GROUP BY query_id"
+)
+def context_purposes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts for summarising and for answering, as digests."""
+    rows = _candidates(spark, sf_dir).withColumn("similarity", F.round("similarity", 3))
+    whole = context.purpose_context(rows, "summarization").select("query_id", F.md5("context").alias("summarization"))
+    return whole.join(context.purpose_context(rows, "qa").select("query_id", F.md5("context").alias("qa")), "query_id")
+
+
+def _level_sql(texts: dict[str, str], otherwise: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.items())
+    return f"CASE level {cases} ELSE '{texts[otherwise]}' END"
+
+
+@query(
+    "WITH t AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN 'beginner' WHEN 1 THEN 'intermediate' WHEN 2 THEN 'advanced' ELSE 'expert' END AS level FROM conversations) "
+    f"SELECT conv_id, turn, md5('{context.RULES}' || chr(10) || {_level_sql(context.MANNERS, 'beginner')}) AS system, md5('질문: ' || text || chr(10) || chr(10) || '[컨텍스트]' || chr(10) || level || chr(10) || chr(10) || '요구 형식: ' || {_level_sql(context.STRUCTURES, 'intermediate')}) AS user FROM t"
+)
+def level_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System and user prompts of every message for its level, as digests."""
+    n = F.col("turn") % 4
+    rows = table(spark, sf_dir, "conversations").withColumn("level", F.when(n == 0, "beginner").when(n == 1, "intermediate").when(n == 2, "advanced").otherwise("expert"))
+    return rows.select("conv_id", "turn", F.md5(context.system_prompt("level")).alias("system"), F.md5(context.user_prompt("text", "level", "level")).alias("user"))
+
+
+def _sql_functions(spark: SparkSession, sf_dir: str) -> None:
+    emb = table(spark, sf_dir, "embeddings").select(F.lit("m").alias("model"), F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    sql_functions.register(spark, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), emb)
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def sql_cosine_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _sql_functions(spark, sf_dir)
+    return spark.sql("SELECT a.chunk_id AS vec_id, round(cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM chunk_vectors a JOIN chunk_vectors b ON b.chunk_id = a.chunk_id + 1")
+
+
+@query("WITH s AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS sim FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) x), r AS (SELECT *, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank FROM s WHERE sim >= 0) SELECT CAST(vec_id AS VARCHAR) AS chunk_id, round(sim, 6) AS similarity, CAST(rank AS INT) AS rank FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 10")
+def sql_search_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _sql_functions(spark, sf_dir)
+    return spark.sql("SELECT chunk_id, round(similarity, 6) AS similarity, rank FROM search_similar_chunks((SELECT embedding FROM chunk_vectors WHERE chunk_id = 0), 'm', 10)")
+
+
 @query(f"{_PACK} SELECT query_id, string_agg(rank::INT || '. ' || chunk_id, chr(10) ORDER BY rank) AS citation_list FROM x GROUP BY query_id")
 def citations_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _packed(spark, sf_dir).withColumn("chunk_id", F.col("chunk_id").cast("string"))

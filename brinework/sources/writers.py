@@ -19,10 +19,15 @@ def partitioned(df: DataFrame, path: str, by: list[str], *, compression: str = "
     df.repartition(*by, F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8))).write.mode("overwrite").partitionBy(*by).option("compression", compression).parquet(path)
 
 
-def truncate(spark, path: str) -> None:
-    """An empty table of the same schema."""
-    schema = spark.read.parquet(path).schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+def truncate(spark, path: str, *dependents: str) -> None:
+    """An empty table of the same schema; tables that depend on it are emptied first."""
+    for p in (*dependents, path):
+        spark.createDataFrame([], spark.read.parquet(p).schema).write.mode("overwrite").parquet(p)
+
+
+def evaluations(rows: DataFrame, path: str, *, run: str) -> None:
+    """Evaluation rows of one run, in a folder of their own; writing a run again replaces it."""
+    rows.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def table_info(spark, names: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinework.functions.text import keywords
@@ -44,6 +44,32 @@ def embed_stream(spark: SparkSession, source: str, schema: str, target: str, che
     return query
 
 
+def tallied(rows: DataFrame, valid: Column, by: list[str], *, least: float = 0.5) -> DataFrame:
+    """Rows, good and bad ones of each batch, and whether the share of good ones exceeds ``least``; a null verdict is bad."""
+    good = F.coalesce(valid, F.lit(False))
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"))
+    return out.withColumn("accepted", F.col("succeeded") > least * F.col("n"))
+
+
+def insert_stream(spark: SparkSession, source: str, schema: str, target: str, tallies: str, checkpoint: str, *, valid: Column, files: int = 100, least: float = 0.5):
+    """Insert the good rows of new files into ``target`` and the tallies of each batch into ``tallies``, then stop.
+
+    Both tables are Parquet with a folder per batch, so a batch that is replayed
+    after a failure replaces itself.  ``files`` is the most files of a batch.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        rows = df.withColumn("batch_id", F.lit(number).cast("long")).persist()
+        for out, path in ((rows.where(F.coalesce(valid, F.lit(False))), target), (tallied(rows, valid, ["batch_id"], least=least), tallies)):
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        rows.unpersist()
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def windowed_counts(events: DataFrame, *, ts: str = "ts", by: str = "event_type", window: str = "1 day", late: str | None = None) -> DataFrame:
     """Events and value sums per tumbling window and kind; ``late`` sets the watermark of a stream."""
     rows = events.withWatermark(ts, late) if late else events
