@@ -41,11 +41,11 @@ def test_header_rows(spark):
 
 
 def test_semantic_rerank_and_purposes(spark):
-    rows = spark.createDataFrame([(1, 1, 0.5, "steel sales", "weather today"), (1, 2, 0.4, "steel sales", "sales of steel"), (1, 3, 0.1, "steel sales", None)], "query_id int, rank int, similarity double, query string, content string")
-    assert [r.content for r in rerank.semantic(rows, top=2).orderBy("rank").collect()] == ["sales of steel", "weather today"]
+    rows = spark.createDataFrame([(1, 1, 0.5, "profit growth", "weather today"), (1, 2, 0.4, "profit growth", "growth of profit"), (1, 3, 0.1, "profit growth", None)], "query_id int, rank int, similarity double, query string, content string")
+    assert [r.content for r in rerank.semantic(rows, top=2).orderBy("rank").collect()] == ["growth of profit", "weather today"]
     assert rerank.unchanged(rows, top=1).count() == 1
     (qa,) = context.purpose_context(rows, "qa", most=2).collect()
-    assert "질문: steel sales" in qa.context and "2. (유사도: 0.400) sales of steel" in qa.context and "3." not in qa.context
+    assert "질문: profit growth" in qa.context and "2. (유사도: 0.400) growth of profit" in qa.context and "3." not in qa.context
     assert "[문서 3]\n\n\n" in context.purpose_context(rows, "summarization").first().context
     with pytest.raises(ValueError):
         context.purpose_context(rows, "other")
