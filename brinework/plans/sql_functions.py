@@ -31,6 +31,7 @@ def register(spark: SparkSession, chunks: DataFrame | None = None, embeddings: D
         "WITH models AS (SELECT collect_set(model) AS names FROM chunk_vectors), "
         "known AS (SELECT CASE WHEN array_contains(names, wanted) THEN wanted ELSE raise_error('unknown model ' || coalesce(wanted, 'null')) END AS name FROM models), "
         "scored AS (SELECT v.chunk_id, cosine_similarity(q, v.embedding) AS similarity FROM chunk_vectors v JOIN known ON v.model = known.name), "
-        "ranked AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, chunk_id) AS rank FROM scored WHERE similarity >= least) "
+        "parts AS (SELECT *, row_number() OVER (PARTITION BY pmod(hash(chunk_id), 1000) ORDER BY similarity DESC, chunk_id) AS place FROM scored WHERE similarity >= least), "
+        "ranked AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, chunk_id) AS rank FROM parts WHERE place <= k) "
         "SELECT CAST(r.chunk_id AS STRING), c.text, r.similarity, r.rank FROM ranked r JOIN chunk_texts c ON c.chunk_id = r.chunk_id WHERE r.rank <= k"
     )
