@@ -87,14 +87,16 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def keyword_search(chunks: DataFrame, queries: DataFrame, *, k: int | None = None, broadcast_words: int = 500_000, id_col: str = "chunk_id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """(query_id, id, score, rank) of the chunks that hold every word of a query.
+def keyword_search(chunks: DataFrame, queries: DataFrame, *, k: int | None = None, match: str = "all", broadcast_words: int = 500_000, id_col: str = "chunk_id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """(query_id, id, score, rank) of the chunks that hold every word of a query, or with ``match="any"`` one of them.
 
     The score is the number of occurrences of the query's words per word of the
     chunk.  Chunk words join query words by equality.  Words of no query drop
     out before anything is shuffled: the distinct query words are broadcast
     where a count shows at most ``broadcast_words``, else semi-joined.
     """
+    if match not in ("all", "any"):
+        raise ValueError(f"unknown match {match!r}")
     words = tokens(F.col(text))
     wanted = queries.select(query_id, F.array_distinct(tokens(F.col(query))).alias("_w")).where("size(_w) > 0")
     wanted = wanted.select(query_id, F.size("_w").alias("_need"), F.explode("_w").alias("_word"))
@@ -105,7 +107,7 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, *, k: int | None = Non
     asked = split.select(id_col, "_len", F.explode("_words").alias("_word")).join(F.broadcast(vocabulary) if small else vocabulary, "_word", "left_semi")
     counts = asked.groupBy(id_col, "_len", "_word").agg(F.count("*").alias("_tf"))
     hits = counts.join(wanted, "_word").groupBy(query_id, id_col, "_len", "_need").agg(F.count("*").alias("_got"), F.sum("_tf").alias("_tf"))
-    scored = hits.where("_got = _need").select(query_id, id_col, (F.col("_tf") / F.col("_len")).alias("score"))
+    scored = (hits.where("_got = _need") if match == "all" else hits).select(query_id, id_col, (F.col("_tf") / F.col("_len")).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
@@ -143,7 +145,7 @@ def with_context(hits: DataFrame, content: str = "content", before: str = "prev_
     return hits.withColumn("enriched", F.concat_ws("\n", part("[이전 문맥]", before), part("[검색된 내용]", content), part("[다음 문맥]", after)))
 
 
-def search(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, *, method: str = "vector", k: int = 5, min_similarity: float = 0.0, fusion: str = "rrf") -> DataFrame:
+def search(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, *, method: str = "vector", k: int = 5, min_similarity: float = 0.0, fusion: str = "rrf", match: str = "all") -> DataFrame:
     """(query_id, rank, chunk_id, score) by ``vector``, ``keyword`` or ``hybrid``, with the chunk's columns.
 
     queries: query_id, query and, but for keyword search, query_vector.  Scores
@@ -156,6 +158,6 @@ def search(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, *, meth
     if method != "keyword":
         found = batch_topk(embeddings, queries, k=wide, min_similarity=min_similarity, id_col="chunk_id").withColumnRenamed("similarity", "score")
     if method != "vector":
-        words = keyword_search(chunks, queries, k=wide)
+        words = keyword_search(chunks, queries, k=wide, match=match)
         found = words if found is None else fuse(found, words, method=fusion, k=k).withColumnRenamed("fused", "score")
     return found.join(chunks, "chunk_id")

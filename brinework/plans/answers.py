@@ -14,7 +14,7 @@ from brinework.operators.rewrite import rewrite
 from brinework.operators.search import search
 
 
-def answer(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame, *, method: str = "keyword", k: int = 5, budget: int = 4000, style: str = "prompt", filings: DataFrame | None = None, as_of: dt.date | None = None, generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def answer(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame, *, method: str = "keyword", match: str = "all", k: int = 5, budget: int = 4000, style: str = "prompt", filings: DataFrame | None = None, as_of: dt.date | None = None, generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, query, context, answer, grounded, citation_list, n_documents, avg_similarity).
 
     Search, rerank, pack, format, answer, check, guard.  ``generate`` adds an
@@ -23,7 +23,7 @@ def answer(questions: DataFrame, chunks: DataFrame, embeddings: DataFrame, *, me
     """
     if filings is not None and as_of is not None:
         questions = rewrite(questions.withColumn("question", F.col("query")), filings, as_of).withColumn("query", F.col("rewritten")).drop("question", "rewritten", "temporal")
-    found = search(chunks, embeddings, questions, method=method, k=k)
+    found = search(chunks, embeddings, questions, method=method, k=k, match=match)
     base = questions.select("query_id", "query")
     cand = found.join(base, "query_id").withColumn("similarity", F.col("score")).withColumn("content", F.col("text"))
     if "chunk_index" not in cand.columns:

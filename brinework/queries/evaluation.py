@@ -9,7 +9,7 @@ from brinework.operators import chat, context
 from brinework.operators import metrics as M
 from brinework.operators import search
 from brinework.queries import ORACLES, query, table
-from brinework.queries.retrieval import _CAND, _KW, _candidates
+from brinework.queries.retrieval import _CAND, _KW, _candidates, _ranked
 from brinework.sources.writers import comparison
 
 
@@ -165,10 +165,7 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from brinework.queries.retrieval import _chunks, _queries
-
-    hits = search.keyword_search(_chunks(spark, sf_dir), _queries(spark, sf_dir), k=10)
-    return hits.select("query_id", F.when(F.col("rank") % 2 == 0, "even").otherwise("odd").alias("model"), F.floor((F.col("rank") + 1) / 2).alias("rank"), F.col("score").alias("similarity"))
+    return _ranked(spark, sf_dir, 10).select("query_id", F.when(F.col("rank") % 2 == 0, "even").otherwise("odd").alias("model"), F.floor((F.col("rank") + 1) / 2).alias("rank"), F.col("score").alias("similarity"))
 
 
 @query(f"{_MODELS} SELECT query_id, round(max(score) FILTER (model = 'even' AND rank = 1), 6) AS even, round(max(score) FILTER (model = 'odd' AND rank = 1), 6) AS odd FROM r GROUP BY query_id")

@@ -168,11 +168,17 @@ def gaps_islands_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("doc_id", "island").agg(F.max("t").alias("is_table"), F.count("*").alias("n_lines"), F.min("line_no").cast("long").alias("first_line"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'A'), (1, 1, 'A'), (1, 2, 'A > B'), (1, 3, 'A > B'), (1, 4, 'A > B > C'), (1, 5, 'A > D'), (1, 6, 'A > D'), (2, 0, ''), (2, 1, 'X')) AS t(doc_id, line_no, path)")
+@query(
+    "WITH o AS (SELECT c_custkey AS doc_id, o_orderkey AS line_no, c_name, CASE WHEN o_orderstatus <> 'F' THEN o_orderkey END AS head FROM orders JOIN customer ON c_custkey = o_custkey), "
+    "h AS (SELECT *, min(head) OVER (PARTITION BY doc_id) AS one, max(head) OVER (PARTITION BY doc_id ORDER BY line_no) AS last FROM o) "
+    "SELECT c_custkey AS doc_id, CAST(-1 AS BIGINT) AS line_no, c_name AS path FROM customer UNION ALL SELECT doc_id, line_no, concat_ws(' > ', c_name, CASE WHEN last IS NOT NULL THEN one END, nullif(last, one)) FROM h"
+)
 def heading_stack_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section paths where heading levels are skipped."""
-    rows = [(1, 0, "# A"), (1, 1, "text"), (1, 2, "### B"), (1, 3, "more"), (1, 4, "### C"), (1, 5, "## D"), (1, 6, "end"), (2, 0, "start"), (2, 1, "## X")]
-    lines = spark.createDataFrame(rows, "doc_id int, line_no int, line string")
+    """Section paths where heading levels are skipped: a customer's name, under it open orders two levels deeper, closed ones as text."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("line_no"), F.concat(F.when(F.col("o_orderstatus") == "F", "order ").otherwise("### "), "o_orderkey").alias("line"))
+    titles = customers.select("doc_id", F.lit(-1).cast("long").alias("line_no"), F.concat(F.lit("# "), "c_name").alias("line"))
+    lines = titles.unionByName(orders.join(customers, "doc_id", "left_semi"))
     return sequences.heading_paths(lines).select("doc_id", "line_no", "path")
 
 

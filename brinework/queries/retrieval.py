@@ -84,32 +84,37 @@ def vector_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = search.tokens(F.col("text"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(words, 1, 2)).alias("query"), F.col("text").alias("passage"))
+    """The whole benchmark items."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
 
 
-_Q = f"q AS (SELECT item_id AS query_id, list_distinct({TOK.format('text')}[1:2]) AS w, array_to_string({TOK.format('text')}[1:2], ' ') AS query FROM benchmark)"
+_Q = f"q AS (SELECT item_id AS query_id, list_distinct({TOK.format('text')}) AS w, text AS query FROM benchmark)"
 _D = f"d AS (SELECT doc_id AS chunk_id, {TOK.format('text')} AS t, text, lang, source FROM documents)"
 _KW = (
     f"{_Q}, {_D}, c AS (SELECT chunk_id, len(t) AS n, unnest(t) AS word FROM d), tf AS (SELECT chunk_id, n, word, count(*) AS k FROM c GROUP BY ALL), qw AS (SELECT query_id, len(w) AS need, unnest(w) AS word FROM q), "
     "h AS (SELECT query_id, chunk_id, n, need, count(*) AS got, sum(k) AS k FROM tf JOIN qw USING (word) GROUP BY ALL), "
-    "kw AS (SELECT query_id, chunk_id, k / n AS score, row_number() OVER (PARTITION BY query_id ORDER BY k / n DESC, chunk_id) AS rank FROM h WHERE got = need)"
+    "kw AS (SELECT query_id, chunk_id, k / n AS score, row_number() OVER (PARTITION BY query_id ORDER BY k / n DESC, chunk_id) AS rank FROM h)"
 )
 
 
-@query(f"WITH {_KW} SELECT query_id, chunk_id FROM kw")
+@query(f"WITH {_KW} SELECT query_id, chunk_id FROM h WHERE got = need")
 def keyword_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents that hold both words of each query."""
+    """All documents that hold every word of an item."""
     return search.keyword_search(_chunks(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "chunk_id")
 
 
 @query(f"WITH {_KW} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM kw WHERE rank <= 10")
 def keyword_density_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.keyword_search(_chunks(spark, sf_dir), _queries(spark, sf_dir), k=10).withColumn("score", F.round("score", 6))
+    """The documents with the largest share of words of an item."""
+    return _ranked(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
+
+
+def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return search.keyword_search(_chunks(spark, sf_dir), _queries(spark, sf_dir), k=k, match="any")
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +123,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = _queries(spark, sf_dir)
     vectors = queries.join(emb.withColumnRenamed("chunk_id", "query_id"), "query_id").select("query_id", F.col("embedding").alias("query_vector"))
     v = search.batch_topk(emb, vectors, k=20, min_similarity=0.0, id_col="chunk_id").withColumnRenamed("similarity", "score")
-    return v.withColumn("score", F.round("score", 6)), search.keyword_search(_chunks(spark, sf_dir), queries, k=20).withColumn("score", F.round("score", 6))
+    return v.withColumn("score", F.round("score", 6)), _ranked(spark, sf_dir, 20).withColumn("score", F.round("score", 6))
 
 
 _HITS = (
@@ -160,8 +165,7 @@ def fusion_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.keyword_search(_chunks(spark, sf_dir), _queries(spark, sf_dir), k=15)
-    rows = hits.join(_chunks(spark, sf_dir), "chunk_id").join(_queries(spark, sf_dir).select("query_id", F.col("passage").alias("query")), "query_id")
+    rows = _ranked(spark, sf_dir, 15).join(_chunks(spark, sf_dir), "chunk_id").join(_queries(spark, sf_dir), "query_id")
     return rows.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("similarity"), "query", F.col("text").alias("content"), (F.col("chunk_id") % 7).cast("int").alias("chunk_index"))
 
 
@@ -318,4 +322,4 @@ def grounding_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_answering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword search, rerank, pack, format, extractive answer, guardrail for all benchmark items."""
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return answer(_queries(spark, sf_dir).select("query_id", "query"), _chunks(spark, sf_dir), emb, method="keyword").select("query_id", "answer", "grounded", "citation_list", "n_documents")
+    return answer(_queries(spark, sf_dir), _chunks(spark, sf_dir), emb, method="keyword", match="any").select("query_id", "answer", "grounded", "citation_list", "n_documents")

@@ -14,10 +14,6 @@ from brinework.queries import query, table
 from brinework.sources import readers
 
 
-def _rows(spark: SparkSession, values: list, schema: str) -> DataFrame:
-    return spark.createDataFrame(values, schema)
-
-
 @query(r"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(trim(text), '\s+', ' ', 'g'), '[^\p{L}\p{N}_\s]', '', 'g'))) AS h FROM documents")
 def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalised("text")).alias("h"))
@@ -43,11 +39,14 @@ def html_title_lang_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.page_facts(table(spark, sf_dir, "pages")).select("page_id", "title", "html_lang", "n_links")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 0, ['a', 'b', 'b']), (1, 0, 1, ['a', 'c', 'd']), (1, 0, 2, ['', 'e', 'f'])) AS t(page_id, table_no, row_no, cells)")
+@query(
+    "WITH c AS (SELECT c_custkey AS page_id, CAST(c_custkey AS VARCHAR) AS k, c_mktsegment AS m, CAST(c_nationkey AS VARCHAR) AS n, c_name AS w FROM customer) "
+    "SELECT page_id, 0 AS table_no, 0 AS row_no, [k, m, m] AS cells FROM c UNION ALL SELECT page_id, 0, 1, [k, n, w] FROM c UNION ALL SELECT page_id, 0, 2, ['', n, m] FROM c"
+)
 def html_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged cells of a table spread over their span."""
-    html = "<table><tr><td rowspan=2>a</td><td colspan=2>b</td></tr><tr><td>c</td><td>d</td></tr><tr><td></td><td>e</td><td>f</td></tr></table>"
-    return readers.html_tables(_rows(spark, [(1, html)], "page_id int, html string"))
+    """Merged cells of a table spread over their span, one table for each customer."""
+    html = F.format_string("<table><tr><td rowspan=2>%1$s</td><td colspan=2>%2$s</td></tr><tr><td>%3$s</td><td>%4$s</td></tr><tr><td></td><td>%3$s</td><td>%2$s</td></tr></table>", "c_custkey", "c_mktsegment", "c_nationkey", "c_name")
+    return readers.html_tables(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), html.alias("html")))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS a, strftime(o_orderdate, '%Y-%m-%d') AS b, strftime(o_orderdate, '%Y-%m-%d') AS c FROM orders")
@@ -58,22 +57,38 @@ def date_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.iso_dates(korean).alias("a"), dates.iso_dates(F.date_format(d, "yyyy.MM.dd")).alias("b"), dates.compact_date(F.date_format(d, "yyyyMMdd")).alias("c"))
 
 
-_QUESTIONS = ["2024년 3분기", "24년 Q1", "최근 실적", "최근 3분기 실적", "최근 2년", "작년 매출", "전 분기", "최근 매출 추이", "2025-01-01부터 2025-03-31까지", "1999년", "매출 비교"]
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question about time for every order, of one of seven kinds, with numbers from its date."""
+    d, kind = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    said = (
+        F.when(kind == 0, F.format_string("%d년 %d분기", F.year(d) + 30, F.quarter(d)))
+        .when(kind == 1, F.format_string("최근 %d분기 실적", F.month(d)))
+        .when(kind == 2, F.format_string("최근 %d년", F.month(d)))
+        .when(kind == 3, F.format_string("%d년 Q%d", F.year(d) - 1980, F.quarter(d)))
+        .when(kind == 4, "작년 매출")
+        .when(kind == 5, "전 분기")
+        .otherwise("최근 실적")
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", said.alias("question"))
+
+
+_ASKED = "a AS (SELECT o_orderkey, o_orderkey % 7 AS kind, year(o_orderdate) AS y, quarter(o_orderdate) AS q, month(o_orderdate) AS m FROM orders)"
 
 
 @query(
-    "SELECT * FROM (VALUES ('2024년 3분기', '2024', '3'), ('24년 Q1', '2024', '1'), ('최근 실적', '2025', '2'), ('최근 3분기 실적', '2024,2025', '1,2,4'), ('최근 2년', '2024,2025', ''), ('작년 매출', '2024', ''), ('전 분기', '2025', '1'), "
-    "('최근 매출 추이', '2024,2025', '1,2,4'), ('2025-01-01부터 2025-03-31까지', '2025', ''), ('1999년', '', ''), ('매출 비교', '', '')) AS t(question, years, quarters)"
+    f"WITH {_ASKED}, r AS (SELECT *, range(m) AS back FROM a) SELECT o_orderkey, CASE kind WHEN 0 THEN CAST(y + 30 AS VARCHAR) WHEN 1 THEN array_to_string(list_sort(list_distinct(list_transform(back, lambda i: (8101 - i) // 4))), ',') "
+    "WHEN 2 THEN array_to_string(list_sort(list_transform(back, lambda i: 2025 - i)), ',') WHEN 3 THEN CAST(y + 20 AS VARCHAR) WHEN 4 THEN '2024' ELSE '2025' END AS years, "
+    "CASE kind WHEN 0 THEN CAST(q AS VARCHAR) WHEN 1 THEN array_to_string(list_sort(list_distinct(list_transform(back, lambda i: (8101 - i) % 4 + 1))), ',') WHEN 3 THEN CAST(q AS VARCHAR) WHEN 5 THEN '1' WHEN 6 THEN '2' ELSE '' END AS quarters FROM r"
 )
 def temporal_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years and quarters that questions of May 2025 ask for."""
     t = dates.temporal("question", dt.date(2025, 5, 15))
-    rows = _rows(spark, [(q,) for q in _QUESTIONS], "question string")
-    return rows.select("question", F.array_join(t["years"].cast("array<string>"), ",").alias("years"), F.array_join(t["quarters"].cast("array<string>"), ",").alias("quarters"))
+    return _questions(spark, sf_dir).select("o_orderkey", F.array_join(t["years"].cast("array<string>"), ",").alias("years"), F.array_join(t["quarters"].cast("array<string>"), ",").alias("quarters"))
 
 
-@query("SELECT * FROM (VALUES ('2024년 3분기', NULL), ('24년 Q1', NULL), ('최근 실적', 'recent'), ('최근 3분기 실적', 'recent_3_분기'), ('최근 2년', 'recent_2_년'), ('작년 매출', 'last_year'), ('전 분기', 'last_quarter'), ('최근 매출 추이', 'trend'), ('2025-01-01부터 2025-03-31까지', NULL), ('1999년', NULL), ('매출 비교', 'comparison')) AS t(question, relative)")
+@query(f"WITH {_ASKED} SELECT o_orderkey, CASE kind WHEN 1 THEN 'recent_' || m || '_분기' WHEN 2 THEN 'recent_' || m || '_년' WHEN 4 THEN 'last_year' WHEN 5 THEN 'last_quarter' WHEN 6 THEN 'recent' END AS relative FROM a")
 def relative_time_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, [(q,) for q in _QUESTIONS], "question string").select("question", dates.relative_time("question").alias("relative"))
+    return _questions(spark, sf_dir).select("o_orderkey", dates.relative_time("question").alias("relative"))
 
 
 @query("SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) * 1000 AS VARCHAR) AS scaled FROM orders")
@@ -87,23 +102,35 @@ def amount_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", numbers.amount((F.floor("o_totalprice") * 1000).cast("string")).alias("amount"))
 
 
-@query("SELECT * FROM (VALUES (1, '매출 1.5억원 증가'), (2, '2024년 실적 12,345'), (3, NULL)) AS t(id, x) WHERE id = 3 UNION ALL SELECT * FROM (VALUES (1, '총액 1.8조원'), (2, '지분율 25% 자산 1.2억원 2024년'), (4, '보유 12,345주 지분 5%')) AS t(id, x)")
+@query(
+    "WITH v AS (SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) * 10000000 AS n FROM orders) SELECT o_orderkey, '총액 ' || CASE WHEN n >= 1000000000000 THEN format('{:.1f}', n / 1000000000000) || '조원' WHEN n % 100000000 = 0 THEN format('{:,}', n // 100000000) || '억원' ELSE format('{:,.1f}', n / 100000000) || '억원' END AS money, "
+    "'보유 ' || format('{:,}', o_custkey + 1000) || '주' AS shares FROM v WHERE n >= 1000000000 UNION ALL SELECT o_orderkey, '총액 ' || n, '보유 ' || format('{:,}', o_custkey + 1000) || '주' FROM v WHERE n < 1000000000"
+)
 def number_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers inside text get their units."""
-    rows = _rows(spark, [(1, "총액 1782278000000"), (2, "지분율 0.25 자산 123456789 2024년"), (3, None), (4, "보유 12,345 지분 5")], "id int, x string")
-    return rows.select("id", F.when(F.col("id") == 4, numbers.stock_numbers("x")).when(F.col("id") == 1, numbers.large_numbers("x")).otherwise(numbers.financial_numbers("x")).alias("x"))
+    money = F.concat(F.lit("총액 "), (F.floor("o_totalprice") * 10_000_000).cast("string"))
+    shares = F.concat(F.lit("보유 "), F.format_number(F.col("o_custkey") + 1000, 0))
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.large_numbers(money).alias("money"), numbers.stock_numbers(shares).alias("shares"))
 
 
-@query("SELECT * FROM (VALUES ('자본', '자본은'), ('회사', '회사는'), ('NAVER', 'NAVER은'), ('KIA', 'KIA는'), ('제2', '제2는'), ('', '는')) AS t(w, said)")
+@query(
+    "SELECT c_custkey, c_name || CASE WHEN c_custkey % 2 = 0 THEN '는' ELSE '은' END AS name, "
+    "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '자동차는' WHEN 'BUILDING' THEN '건물은' WHEN 'FURNITURE' THEN '가구는' WHEN 'MACHINERY' THEN '기계는' WHEN 'HOUSEHOLD' THEN '살림은' ELSE '는' END AS segment FROM customer"
+)
 def particle_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, [(w,) for w in ("자본", "회사", "NAVER", "KIA", "제2", "")], "w string")
-    return rows.select("w", F.concat("w", text.particle("w", "은", "는")).alias("said"))
+    """The topic particle after names that end in a digit and after Korean words."""
+    m = F.col("c_mktsegment")
+    word = F.when(m == "AUTOMOBILE", "자동차").when(m == "BUILDING", "건물").when(m == "FURNITURE", "가구").when(m == "MACHINERY", "기계").when(m == "HOUSEHOLD", "살림").otherwise("")
+    said = {"name": F.col("c_name"), "segment": word}
+    return table(spark, sf_dir, "customer").select("c_custkey", *[F.concat(w, text.particle(w, "은", "는")).alias(k) for k, w in said.items()])
 
 
-@query("SELECT * FROM (VALUES (1, '매출: 100,기타'), (2, '신규설립: 신규설립'), (3, '6: 6')) AS t(id, x)")
+@query("SELECT o_orderkey, '매출: ' || o_custkey || ',' || o_orderstatus AS pairs, '' AS word, o_custkey || ': ' || o_custkey AS number FROM orders")
 def repetition_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, [(1, "구분: 구분,매출: 100,기타"), (2, "신규설립: 신규설립"), (3, "6: 6")], "id int, x string")
-    return rows.select("id", text.repetition_reduced("x").alias("x"))
+    """Pairs of a word with itself go, numbers stay."""
+    pairs = F.concat(F.lit("구분: 구분,매출: "), "o_custkey", F.lit(","), "o_orderstatus")
+    twice = {"word": "o_orderpriority", "number": "o_custkey"}
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.repetition_reduced(pairs).alias("pairs"), *[text.repetition_reduced(F.concat_ws(": ", c, c)).alias(k) for k, c in twice.items()])
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, 'the') THEN 'audit_report' ELSE 'other' END AS doc_type FROM documents")
@@ -143,11 +170,18 @@ def map_merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", m["k"].alias("winner"), m["t"].alias("kept"))
 
 
-@query("SELECT * FROM (VALUES ('주식의 총수', '보통주는 주식수 100, 비율 5%입니다.'), ('배당', '현금배당은 당기 500, 전기 400입니다.'), ('임원', '홍길동은 직위 이사입니다.'), ('기타', '가: 나')) AS t(section, said)")
+@query(
+    "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '보통주는 주식수 ' || (o_custkey + 100) || ', 비율 ' || month(o_orderdate) || '%입니다.' WHEN 'O' THEN '현금배당은 당기 ' || (o_custkey + 100) || ', 전기 ' || month(o_orderdate) || '입니다.' ELSE '가: ' || o_orderpriority END AS said FROM orders"
+)
 def row_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of table rows by section."""
-    rows = [("주식의 총수", {"구분": "보통주", "주식수": "100", "비율": "5%"}), ("배당", {"구분": "현금배당", "당기": "500", "전기": "400"}), ("임원", {"성명": "홍길동", "직위": "이사"}), ("기타", {"가": "나", "다": "-"})]
-    return _rows(spark, rows, "section string, data map<string,string>").select("section", structured.sentence("section", "data").alias("said"))
+    status, n, m = F.col("o_orderstatus"), (F.col("o_custkey") + 100).cast("string"), F.month("o_orderdate").cast("string")
+    section = F.when(status == "F", "주식의 총수").when(status == "O", "배당").otherwise("기타")
+    shares = F.create_map(F.lit("구분"), F.lit("보통주"), F.lit("주식수"), n, F.lit("비율"), F.concat(m, F.lit("%")))
+    paid = F.create_map(F.lit("구분"), F.lit("현금배당"), F.lit("당기"), n, F.lit("전기"), m)
+    data = F.when(status == "F", shares).when(status == "O", paid).otherwise(F.create_map(F.lit("가"), F.col("o_orderpriority"), F.lit("다"), F.lit("-")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", section.alias("section"), data.alias("data"))
+    return rows.select("o_orderkey", structured.sentence("section", "data").alias("said"))
 
 
 @query("SELECT doc_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, md5(text) AS h FROM documents GROUP BY doc_id, text")
