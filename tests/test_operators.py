@@ -62,6 +62,20 @@ def test_batch_search_skips_odd_vectors_and_breaks_ties_by_id(spark):
     assert search.batch_topk(emb, q.limit(0)).count() == 0
 
 
+def test_keyword_search_by_all_words_or_any(spark):
+    chunks = spark.createDataFrame([(1, "Steel sales, steel."), (2, "sales of paper"), (3, "nothing"), (4, ""), (5, None)], "chunk_id int, text string")
+    q = spark.createDataFrame([("a", "steel sales"), ("b", "sales"), ("c", ""), ("d", None), ("e", "zinc")], "query_id string, query string")
+
+    def got(**kw):
+        return sorted((r.query_id, r.chunk_id, round(r.score, 4), r["rank"]) for r in search.keyword_search(chunks, q, **kw).collect())
+
+    assert got() == [("a", 1, 1.0, 1), ("b", 1, 0.3333, 1), ("b", 2, 0.3333, 2)]
+    assert got(match="any") == [("a", 1, 1.0, 1), ("a", 2, 0.3333, 2), ("b", 1, 0.3333, 1), ("b", 2, 0.3333, 2)]
+    assert got(match="any", broadcast_words=0) == got(match="any") and len(got(match="any", k=1)) == 2
+    with pytest.raises(ValueError, match="unknown match"):
+        got(match="some")
+
+
 def test_rerank_is_stable(spark):
     rows = spark.createDataFrame([(1, i, i, 0.5, "q", "c", 0) for i in (1, 2, 3)], "query_id int, chunk_id int, rank int, similarity double, query string, content string, chunk_index int")
     assert [r.chunk_id for r in rerank.standard(rows).orderBy("rank").collect()] == [1, 2, 3]
