@@ -1,6 +1,7 @@
 """Odd rows and exact properties of the operators."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -341,6 +342,38 @@ def test_trie_nodes_do_not_depend_on_ranges(spark, ranges):
         assert all(hub == min(v) or hub in v for (_, hub), v in got.items())
 
 
+def run_members(rows, cuts, used):
+    """Members of each (node, hub) that _nodes tells of, for one range of sorted rows cut into batches."""
+    names = ["part", "tree", "label", "id"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a:b], strict=True)], names=names) for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+    got = [r for out in ngram_join._nodes(used)(iter(batches)) for r in out.to_pylist()]
+    told = {}
+    for r in got:
+        if r["id"] is None:
+            assert (r["node"], r["hub"]) not in told
+            told[r["node"], r["hub"]] = r["n"]
+    return sorted((r["node"], r["hub"], r["id"]) for r in got if r["id"] is not None), told
+
+
+@pytest.mark.parametrize("used", [1, 2])
+def test_runs_do_not_depend_on_how_rows_are_cut_into_batches(used):
+    labels = [b"aaaabbbb"] * 3 + [b"aaaacccc"] + [b"ddddaaaa", b"eeeeaaaa"] + [b"ffffbbbb"] * 3
+    rows = [(0, 1, x, i) for i, x in enumerate(labels)]
+    want = run_members(rows, [], used)
+    assert {n for n in want[1].values()} == ({4, 3} if used == 1 else {3})
+    for size in range(1, len(rows)):
+        for cuts in itertools.combinations(range(1, len(rows)), size):
+            assert run_members(rows, list(cuts), used) == want
+
+
+def test_a_large_group_of_near_copies_spans_batches(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    n = 5_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("first"), F.col("id").cast("string"), F.lit(" " + words)).alias("text"))
+    got = ngram_join.ngram_join(docs).agg(F.count("*"), F.min("group_id"), F.max("group_id"), F.min("n_links"), F.max("n_links"), F.sum(F.col("kept").cast("int"))).first()
+    assert tuple(got) == (n, 0, 0, n - 1, n - 1, 1)
+
+
 def test_two_texts_of_one_id_keep_their_links(spark):
     a, b = near_texts(2, n=2, seed=3), near_texts(2, n=2, seed=4)
     rows = [(7, a[0]), (7, b[0]), (8, a[1]), (9, b[1]), (None, a[2]), (None, a[3]), (20, a[3])]
