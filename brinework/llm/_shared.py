@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,19 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: Folders of intermediate tables, innermost :func:`scratch` last.
-_scratch: list[str] = []
+#: Folders of intermediate tables, innermost :func:`scratch` last; each thread has its own.
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
-    """Intermediate tables written inside are deleted at the end; write what is to stay before."""
+    """Intermediate tables that this thread writes inside are deleted at the end; write what is to stay before."""
     path = f"{shared_dir(spark)}/brinework/scratch-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    token = _scratch.set((*_scratch.get(), path))
     try:
         yield path
     finally:
-        _scratch.remove(path)
+        _scratch.reset(token)
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -57,7 +58,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     They stay until the enclosing :func:`scratch` ends, or for good without one.
     """
     spark = df.sparkSession
-    folder = _scratch[-1] if _scratch else f"{shared_dir(spark)}/brinework"
+    folder = _scratch.get()[-1] if _scratch.get() else f"{shared_dir(spark)}/brinework"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -71,6 +72,24 @@ def integer_id(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("long")
 
 
+def numbered(df: DataFrame, *order: Column, name: str) -> DataFrame:
+    """``df`` with ``name``, each row's place (from 1) in the order of all rows.
+
+    The rows are sorted in ranges and written; the number of rows in each range
+    (one number a range) passes through the driver, so no task sees all rows.
+    """
+    at, part = PREFIX + "at", PREFIX + "part"
+    rows = materialize(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "sorted")
+    rows = rows.withColumn(part, F.shiftright(at, 33))
+    ahead, total = [], 0
+    for p, n in sorted(tuple(r) for r in rows.groupBy(part).count().collect()):
+        ahead.append((p, total))
+        total += n
+    bases = df.sparkSession.createDataFrame(ahead, f"`{part}` long, `{PREFIX}base` long")
+    place = F.col(PREFIX + "base") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(bases), part).withColumn(name, place).drop(at, part, PREFIX + "base")
+
+
 def grown(rows: int, least: int, each: int) -> int:
     """A number of parts that grows with the rows: about ``each`` rows a part, ``least`` parts at least."""
     return max(least, -(-rows // each))

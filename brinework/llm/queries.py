@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinework.llm import decontaminate, exact_dedup, lang_id, lm_score, mixing, ngram_join, quality, secrets, sharding, toxicity
+from brinework.llm import decontaminate, exact_dedup, lang_id, lm_score, mixing, ngram_join, quality, resample, secrets, sharding, toxicity
 from brinework.llm._shared import held_out
 
 
@@ -77,8 +77,12 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_decontaminate, op5_mix_sources, op6_secrets, op7_ngram_join, op8_lm_scores, op9_language, op10_shard)
+    f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_decontaminate, op5_mix_sources, op6_secrets, op7_ngram_join, op8_lm_scores, op9_language, op10_shard, op13_resample)
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
@@ -90,4 +94,40 @@ ORACLES: dict[str, str] = {
                CAST(octet_length(encode(d.t)) AS BIGINT) AS n_bytes
         FROM d JOIN g USING (t)
     """,
+    # crc32 is the exclusive or of what each byte adds by its distance from the end, and of a number for the length
+    "op13_resample": r"""
+        WITH RECURSIVE
+        shifted(b, c, k) AS (SELECT range, range, 0 FROM range(256)
+                             UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM shifted WHERE k < 8),
+        tab AS MATERIALIZED (SELECT b, c FROM shifted WHERE k = 8),
+        texts AS (SELECT doc_id, rowid_ AS r, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS parts
+                  FROM (SELECT doc_id, text, row_number() OVER () AS rowid_ FROM documents
+                        UNION ALL SELECT NULL, text, -row_number() OVER () FROM benchmark)),
+        words AS (SELECT doc_id, r, list_filter(parts, lambda w: w <> '') AS ws FROM texts),
+        places AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM words),
+        following AS (SELECT r, w AS w1, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM places WINDOW p AS (PARTITION BY r ORDER BY i)),
+        features AS MATERIALIZED (SELECT r, w1 AS f FROM following UNION ALL SELECT r, w1 || ' ' || w2 FROM following WHERE w2 IS NOT NULL
+                     UNION ALL SELECT r, w1 || ' ' || w2 || ' ' || w3 FROM following WHERE w3 IS NOT NULL),
+        names AS MATERIALIZED (SELECT DISTINCT f, hex(encode(f)) AS h FROM features),
+        longest AS (SELECT max(len(h) // 2) AS m FROM names),
+        adds(b, d, c) AS (SELECT b, 0, c FROM tab
+                          UNION ALL SELECT a.b, a.d + 1, xor(a.c >> 8, t.c) FROM adds a JOIN tab t ON t.b = a.c & 255 WHERE a.d < (SELECT m FROM longest)),
+        begins(n, z) AS (SELECT 0, 4294967295::BIGINT
+                         UNION ALL SELECT n + 1, xor(z >> 8, t.c) FROM begins JOIN tab t ON t.b = z & 255 WHERE n < (SELECT m FROM longest)),
+        spread AS (SELECT f, len(h) // 2 AS n, unnest(range(len(h) // 2)) AS j, h FROM names),
+        crcs AS (SELECT s.f, bit_xor(a.c) AS c, any_value(s.n) AS n
+                 FROM spread s JOIN adds a ON a.d = s.n - 1 - s.j AND a.b = ('0x' || substr(s.h, 2 * s.j + 1, 2))::BIGINT GROUP BY s.f),
+        buckets AS (SELECT f, xor(xor(c, z), 4294967295) % 10000 AS bucket FROM crcs JOIN begins USING (n)),
+        placed AS MATERIALIZED (SELECT r, bucket FROM features JOIN buckets USING (f)),
+        counts AS (SELECT bucket, count(*) FILTER (r > 0) AS s, count(*) FILTER (r < 0) AS t FROM placed GROUP BY bucket),
+        totals AS (SELECT coalesce(sum(s), 0)::DOUBLE AS ss, coalesce(sum(t), 0)::DOUBLE AS tt FROM counts),
+        gains AS (SELECT bucket, floor(1000.0 * ln((t + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain FROM counts, totals),
+        sums AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE r > 0 GROUP BY r),
+        scored AS (SELECT w.doc_id, w.r, len(ws) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                          coalesce(weight, 0) + floor(-1000.0 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(w.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+                   FROM words w LEFT JOIN sums USING (r) WHERE w.r > 0),
+        fit AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE n >= 20)
+        SELECT doc_id, n_features, weight, score, rank
+        FROM scored LEFT JOIN (SELECT r, rank FROM fit WHERE rank <= (SELECT count(*) * 5 // 100 FROM fit)) USING (r)
+    """,
 }
