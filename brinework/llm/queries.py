@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinework.llm import decontaminate, exact_dedup, lang_id, lm_score, mixing, ngram_join, quality, resample, secrets, sharding, toxicity
+from brinework.llm import collocations, decontaminate, exact_dedup, lang_id, lm_score, mixing, ngram_join, quality, resample, secrets, sharding, toxicity
 from brinework.llm._shared import held_out
 
 
@@ -77,12 +77,16 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_docs(spark, sf_dir))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_decontaminate, op5_mix_sources, op6_secrets, op7_ngram_join, op8_lm_scores, op9_language, op10_shard, op13_resample)
+    f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_decontaminate, op5_mix_sources, op6_secrets, op7_ngram_join, op8_lm_scores, op9_language, op10_shard, op11_collocations, op13_resample)
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
@@ -94,6 +98,31 @@ ORACLES: dict[str, str] = {
                CAST(octet_length(encode(d.t)) AS BIGINT) AS n_bytes
         FROM d JOIN g USING (t)
     """,
+    "op11_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        pieces AS (SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM p),
+        places AS (SELECT lang, id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w1 FROM pieces),
+        runs AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM places WINDOW o AS (PARTITION BY id ORDER BY i)),
+        f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS f FROM runs GROUP BY ALL),
+        f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL),
+        f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        cuts AS (SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, 1 AS cut, x.f AS l, y.f AS r, NULL AS none
+                 FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2 WHERE c.f >= 10
+                 UNION ALL SELECT c.lang, concat_ws(' ', c.w1, c.w2, c.w3), c.f, 1, x.f, y.f, NULL
+                 FROM f3 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+                 UNION ALL SELECT c.lang, concat_ws(' ', c.w1, c.w2, c.w3), c.f, 2, x.f, y.f, NULL
+                 FROM f3 c JOIN f2 x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3),
+        scored AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+        best AS (SELECT lang, phrase, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        around AS (SELECT lang, phrase, max(f) AS longest
+                   FROM (SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM best LEFT JOIN around USING (lang, phrase) JOIN n USING (lang)
+        WHERE longest IS NULL OR 100 * longest < 50 * a
+        QUALIFY rank <= 2000
+    """,
     # crc32 is the exclusive or of what each byte adds by its distance from the end, and of a number for the length
     "op13_resample": r"""
         WITH RECURSIVE
