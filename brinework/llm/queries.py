@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinework.llm import collocations, decontaminate, exact_dedup, lang_id, lm_score, mixing, ngram_join, quality, resample, secrets, sharding, toxicity
+from brinework.llm import collocations, decontaminate, exact_dedup, lang_id, lm_score, mixing, ngram_join, quality, resample, secrets, sharding, toxicity, vector_dedup
 from brinework.llm._shared import held_out
 
 
@@ -81,12 +81,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_docs(spark, sf_dir))
 
 
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_decontaminate, op5_mix_sources, op6_secrets, op7_ngram_join, op8_lm_scores, op9_language, op10_shard, op11_collocations, op13_resample)
+    f.__name__: f for f in (op1_toxicity, op2_quality, op3_exact_dedup, op4_decontaminate, op5_mix_sources, op6_secrets, op7_ngram_join, op8_lm_scores, op9_language, op10_shard, op11_collocations, op12_vector_dedup, op13_resample)
 }
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
@@ -123,6 +127,17 @@ ORACLES: dict[str, str] = {
         WHERE longest IS NULL OR 100 * longest < 50 * a
         QUALIFY rank <= 2000
     """,
+    "op12_vector_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
+              WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+        links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.95),
+        reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+        n AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN least ON least.x = vec_id LEFT JOIN n ON n.x = vec_id
+    """,
     # crc32 is the exclusive or of what each byte adds by its distance from the end, and of a number for the length
     "op13_resample": r"""
         WITH RECURSIVE
