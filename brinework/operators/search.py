@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from brinework.functions.vectors import cosine
 
-#: Queries that are scored per pass over the vectors; their matrix is what a task holds.
-QUERY_BLOCK = 1024
+#: Queries of one block, and bytes of the vectors of one part: a task holds both, and their product.
+QUERY_BLOCK, PART_BYTES = 1024, 16_000_000
 
 
 def vector_topk(embeddings: DataFrame, query: list[float], *, k: int = 5, min_similarity: float = 0.0, condition: Column | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -22,63 +22,53 @@ def vector_topk(embeddings: DataFrame, query: list[float], *, k: int = 5, min_si
     return scored.where(F.col("similarity") >= min_similarity).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+def best_rows(names: list, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple]:
+    """(name, id, similarity) of the k nearest vectors of each query; ties go to the smaller id, a zero vector has similarity 0."""
+    lengths, own = (np.linalg.norm(x, axis=1, keepdims=True) for x in (vectors, queries))
+    similarity = (vectors / np.where(lengths > 0, lengths, np.inf)) @ (queries / np.maximum(own, 1e-300)).T
+    for j, name in enumerate(names):
+        score = similarity[:, j]
+        near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k]) if len(score) > k else np.arange(len(score))
+        for i in sorted(near, key=lambda i: (-score[i], ids[i]))[:k]:
+            yield name, ids[i], float(score[i])
+
+
 def batch_topk(embeddings: DataFrame, queries: DataFrame, *, k: int = 5, min_similarity: float = -1.0, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """(query_id, rank, id, similarity) of the k nearest vectors of each query.
 
-    The queries are a stated set: they go block by block (``QUERY_BLOCK`` each)
-    against all vectors.  A task multiplies each Arrow batch with the block's
-    matrix and keeps its k best rows per query, so only k rows per query and
-    task are shuffled.  Exact; null vectors and vectors of another length are
-    left out, zero vectors have similarity 0.
+    The queries are a stated set: they go in blocks (``QUERY_BLOCK`` each, of
+    one vector length) against all vectors of that length, themselves in parts
+    of some ``PART_BYTES``.  Each pair of a block and a part is one task's group,
+    a matrix product, from which k rows per query are shuffled.  Exact.  Rows
+    whose vector or one of its components is null are left out, on either side, empty vectors too;
+    zero vectors have similarity 0; a query without vectors of its length has
+    no rows.
     """
-    spark = embeddings.sparkSession
-    rows = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("string").alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
     kind, name_kind = embeddings.schema[id_col].dataType, queries.schema[query_id].dataType
-    parts = None
-    block: list = []
-
-    def scored(block: list) -> DataFrame:
-        size = max((len(r.v) for r in block), default=0)
-        block = [r for r in block if len(r.v) == size]
-        matrix = np.array([r.v for r in block]).reshape(len(block), size)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast(([r.q for r in block], matrix))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, m = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, object))] * len(names)
-            for batch in batches:
-                ids, lists = batch.column(0), batch.column(1)
-                ok = np.asarray(pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(lists), m.shape[1]), False))
-                if not ok.any():
-                    continue
-                keep = np.asarray(ids.filter(pa.array(ok)).to_pylist(), object)
-                x = lists.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keep), -1)
-                length = np.linalg.norm(x, axis=1)
-                s = (x @ m.T) / np.where(length > 0, length, np.inf)[:, None]
-                for j in range(len(names)):
-                    score, who = np.concatenate([best[j][0], s[:, j]]), np.concatenate([best[j][1], keep])
-                    if len(score) > k:
-                        least = np.partition(score, len(score) - k)[len(score) - k]
-                        near = np.flatnonzero(score >= least)
-                        order = sorted(near, key=lambda i: (-score[i], who[i]))[:k]
-                        score, who = score[order], who[order]
-                    best[j] = (score, who)
-            for j, name in enumerate(names):
-                if len(best[j][0]):
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best[j][0])), pa.array(best[j][1].tolist(), batch.schema.field(0).type), pa.array(best[j][0])], names=["q", id_col, "similarity"])
-
-        return embeddings.select(id_col, vector).mapInArrow(run, f"q string, `{id_col}` {kind.simpleString()}, similarity double")
-
-    for row in rows.toLocalIterator(prefetchPartitions=True):
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts = scored(block) if parts is None else parts.unionAll(scored(block))
-            block = []
-    if block or parts is None:
-        parts = scored(block) if parts is None else parts.unionAll(scored(block))
+
+    def usable(c: str) -> Column:
+        return (F.size(c) > 0) & ~F.exists(c, lambda x: x.isNull())
+
+    asked = queries.where(usable(query_vector)).select(F.col(query_id).cast("string").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).withColumn("dim", F.size("v"))
+    rows = embeddings.where(usable(vector)).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("dim", F.size("v"))
+    # how many blocks and parts each length gets: a few numbers, joined to the rows
+    blocks = asked.groupBy("dim").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    parts = rows.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") * 8 / PART_BYTES).cast("int").alias("parts"))
+    shape = F.broadcast(blocks.join(parts.withColumn("parts", F.greatest("parts", F.lit(1))), "dim"))
+    asked = asked.join(shape, "dim").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.join(shape, "dim").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def pair(found: pa.Table, wanted: pa.Table) -> pa.Table:
+        ids, names = found["id"].to_pylist(), wanted["q"].to_pylist()
+        matrices = [t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (found, wanted)]
+        best = list(best_rows(names, matrices[1], ids, matrices[0], k)) if ids and names else []
+        columns = zip(*best, strict=True) if best else ([], [], [])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), found.schema.field("id").type, pa.float64()), strict=True)], names=["q", id_col, "similarity"])
+
+    keys = ("dim", "block", "part")
+    best = rows.select(*keys, "id", "v").groupBy(*keys).cogroup(asked.select(*keys, "q", "v").groupBy(*keys)).applyInArrow(pair, f"q string, `{id_col}` {kind.simpleString()}, similarity double")
     order = Window.partitionBy("q").orderBy(F.desc("similarity"), id_col)
-    ranked = parts.where(F.col("similarity") >= min_similarity).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = best.where(F.col("similarity") >= min_similarity).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").cast(name_kind).alias(query_id), "rank", id_col, "similarity")
 
 

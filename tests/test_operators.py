@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,25 @@ def test_batch_search_skips_odd_vectors_and_breaks_ties_by_id(spark):
     assert search.batch_topk(emb, q.limit(0)).count() == 0
 
 
+def test_batch_search_takes_queries_of_every_length_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "PART_BYTES", 200)
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.standard_normal(2 + i % 3).round(2).tolist() for i in range(60)}
+    asked = {f"q{i}": rng.standard_normal(2 + i % 4).round(2).tolist() for i in range(17)}
+    emb = spark.createDataFrame([*vectors.items(), (98, []), (99, [1.0, None])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([*asked.items(), ("none", [None, 1.0])], "query_id string, query_vector array<double>")
+    got = {}
+    for r in search.batch_topk(emb, queries, k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+
+    def cosine(x, y):
+        return float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+
+    want = {q: [i for i, _ in sorted(((i, cosine(v, x)) for i, x in vectors.items() if len(x) == len(v)), key=lambda p: (-round(p[1], 12), p[0]))[:4]] for q, v in asked.items()}
+    assert got == {q: ids for q, ids in want.items() if ids}
+
+
 def test_keyword_search_by_all_words_or_any(spark):
     chunks = spark.createDataFrame([(1, "Steel sales, steel."), (2, "sales of paper"), (3, "nothing"), (4, ""), (5, None)], "chunk_id int, text string")
     q = spark.createDataFrame([("a", "steel sales"), ("b", "sales"), ("c", ""), ("d", None), ("e", "zinc")], "query_id string, query string")
