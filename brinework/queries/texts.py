@@ -11,7 +11,7 @@ from brinework.functions import classify, dates, numbers, text
 from brinework.operators import chunking, structured
 from brinework.plans import corpus
 from brinework.queries import query, table
-from brinework.sources import readers
+from brinework.sources import markup, readers
 
 
 @query(r"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(trim(text), '\s+', ' ', 'g'), '[^\p{L}\p{N}_\s]', '', 'g'))) AS h FROM documents")
@@ -209,3 +209,9 @@ def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents parsed, normalised, split, merged, numbered and labelled in one plan."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("body"))
     return corpus.build(docs).select("doc_id", "seq", "chunk_id", "chunk_type", "merged_count", "doc_type", "data_category", "token_count")
+
+
+@query()
+def page_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of text of every page with the elements around it, and every error that the reader recovered from."""
+    return markup.page_blocks(table(spark, sf_dir, "pages"))

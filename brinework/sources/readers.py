@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinework.sources.markup import ERRORS, parsed
+
 FILING = "corp_code string, corp_name string, stock_code string, rcept_no string, rcept_dt string, report_nm string"
 METADATA = (
     "corp_name string, document_name string, rcept_dt string, doc_type string, data_category string, fiscal_year int, keywords array<string>, token_count int, merged_count int, "
@@ -177,15 +179,14 @@ def page_facts(pages: DataFrame, *, html: str = "html") -> DataFrame:
     )
 
 
-def xml_markdown(xml: str) -> str | None:
-    """A filing's XML as Markdown: sections as headings, paragraphs, tables; None if it can't be read.
+def xml_markdown(xml: str) -> tuple[str, list[tuple[str, int, str]]]:
+    """A filing's XML as Markdown (sections as headings, paragraphs, tables), and (kind, place, near text) of what was wrong with it.
 
     Table groups of layout tables (no border, or inside LIBRARY) become lines.
+    A file that is not well-formed is recovered: see :mod:`brinework.sources.markup`.
+    Text outside paragraphs, titles and tables is left out, but for a file without any of them.
     """
-    try:
-        root = ET.fromstring(xml)
-    except ET.ParseError:
-        return None
+    root, errors = parsed(xml)
     out: list[str] = []
 
     def text(e: ET.Element) -> str:
@@ -200,7 +201,7 @@ def xml_markdown(xml: str) -> str | None:
                 out.append(body)
         elif tag == "TABLE":
             trs = [tr for tr in e.iter() if tr.tag.upper() == "TR"]
-            grid = spread([[(text(c).replace("|", "\\|"), int(c.get("ROWSPAN") or 1), int(c.get("COLSPAN") or 1)) for c in tr if c.tag.upper() in ("TD", "TH", "TE", "TU")] for tr in trs])
+            grid = spread([[(text(c).replace("|", "\\|"), number(c, "ROWSPAN"), number(c, "COLSPAN")) for c in tr if c.tag.upper() in ("TD", "TH", "TE", "TU")] for tr in trs])
             if layout or e.get("BORDER") == "0":
                 out.extend(line for row in grid if (line := " ".join(dict.fromkeys(c for c in row if c))))
             elif grid:
@@ -211,20 +212,31 @@ def xml_markdown(xml: str) -> str | None:
             for child in e:
                 visit(child, inner, layout or tag == "LIBRARY")
 
+    def number(cell: ET.Element, name: str) -> int:
+        value = cell.get(name) or "1"
+        return int(value) if value.isdigit() else 1
+
     visit(root, 0, False)
-    return "\n\n".join(out)
+    body = "\n\n".join(out) or text(root)
+    return body, [(e.what, e.at, xml[e.at : e.at + 40]) for e in errors]
 
 
 def filing_documents(files: DataFrame, filings: DataFrame, *, name: str = "name", xml: str = "xml") -> DataFrame:
-    """XML files as Markdown with the facts of their filing (by the receipt number before ``_``); unlisted files keep nulls."""
+    """XML files as Markdown with the facts of their filing (by the receipt number before ``_``); unlisted files keep nulls.
+
+    ``errors`` lists what was wrong with a file (empty for a well-formed one); its
+    text is recovered.  Only a null file has a null body.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"name": pdf[name], "rcept_no": [n.split("_")[0].split(".")[0] for n in pdf[name]], "body": [xml_markdown(x) for x in pdf[xml]]})
+            read = [xml_markdown(x) if isinstance(x, str) else (None, []) for x in pdf[xml]]
+            errors = [[dict(zip(("kind", "at", "what"), e, strict=True)) for e in found] for _, found in read]
+            yield pd.DataFrame({"name": pdf[name], "rcept_no": [n.split("_")[0].split(".")[0] for n in pdf[name]], "body": [b for b, _ in read], "errors": errors})
 
     from brinework.operators.dedupe import keep_latest
 
-    texts = files.select(name, xml).mapInPandas(run, "name string, rcept_no string, body string")
+    texts = files.select(name, xml).mapInPandas(run, f"name string, rcept_no string, body string, errors {ERRORS}")
     facts = keep_latest(filings.withColumn("_seq", F.col("seq")), ["rcept_no"], ["_seq"]).drop("_seq", "seq", "file")
     return texts.join(facts, "rcept_no", "left")
 
