@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinework.functions.vectors import cosine, normalised
-from brinework.operators import context, rerank, search
+from brinework.operators import cells, context, inverted, rerank, search
 from brinework.plans import sql_functions
 from brinework.plans.answers import answer
 from brinework.queries import query, table
+from brinework.session import working_folder
 
 TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
 _VEC = "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)::DOUBLE[]) AS sim FROM embeddings)"
@@ -117,6 +118,47 @@ def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return search.keyword_search(_chunks(spark, sf_dir), _queries(spark, sf_dir), k=k, match="any")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> inverted.Index:
+    return inverted.build(_chunks(spark, sf_dir), working_folder(spark, "index"))
+
+
+@query(f"WITH {_KW} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM kw WHERE rank <= 10")
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index, of which blocks that can't reach the ten best stay unread."""
+    return inverted.topk(_index(spark, sf_dir), _queries(spark, sf_dir), k=10).withColumn("score", F.round("score", 6))
+
+
+@query()
+def keyword_index_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks each query has words in, and how many of them are read for its ten best."""
+    blocks = inverted.blocks_to_read(_index(spark, sf_dir), _queries(spark, sf_dir), k=10)
+    return blocks.groupBy("query_id").agg(F.count("*").alias("blocks"), F.sum(F.col("read").cast("long")).alias("read"))
+
+
+@query(
+    f"WITH {_Q}, {_D}, tok AS (SELECT chunk_id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM d), qw AS (SELECT query_id, len(w) AS need, unnest(w) AS word FROM q), "
+    "hit AS (SELECT query_id, need, chunk_id, word, pos, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS i FROM tok JOIN qw USING (word)), "
+    "full_ AS (SELECT query_id, chunk_id FROM hit GROUP BY query_id, chunk_id, need HAVING count(DISTINCT word) = need), h AS (SELECT hit.* FROM hit JOIN full_ USING (query_id, chunk_id)), "
+    "last_ AS (SELECT e.query_id, e.chunk_id, e.pos, e.i, e.need, b.word, max(b.pos) AS p FROM h e JOIN h b ON b.query_id = e.query_id AND b.chunk_id = e.chunk_id AND b.pos <= e.pos GROUP BY ALL), "
+    "ends AS (SELECT query_id, chunk_id, pos, i, min(p) AS begins FROM last_ GROUP BY query_id, chunk_id, pos, i, need HAVING count(*) = need), "
+    "covers AS (SELECT query_id, chunk_id, begins, min(pos) AS pos, min(i) AS i FROM ends GROUP BY query_id, chunk_id, begins), "
+    "scored AS (SELECT c.query_id, c.chunk_id, sum(0.1::DOUBLE / (1 + (c.pos - c.begins) - (c.i - h.i))) AS score FROM covers c JOIN h ON h.query_id = c.query_id AND h.chunk_id = c.chunk_id AND h.pos = c.begins GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scored) SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"
+)
+def cover_density_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold every word of an item, those first in which the words stand near each other."""
+    return inverted.cover_topk(_index(spark, sf_dir), _queries(spark, sf_dir), k=10).withColumn("score", F.round("score", 6))
+
+
+@query()
+def vector_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every vector whose id is divisible by 100, from a stored index of cells: an approximation of vector_topk_batch."""
+    emb = table(spark, sf_dir, "embeddings")
+    queries = emb.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    index = cells.build(emb, working_folder(spark, "cells"))
+    return cells.topk(index, queries, k=10).withColumn("similarity", F.round("similarity", 6))
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vector and keyword hits of the benchmark items; an item's vector is the one of the same id."""
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
