@@ -51,8 +51,8 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back; ``codec`` compresses it, else the session's does.
 
     Cuts the lineage: a lost executor only costs a new read of these files.
     They stay until the enclosing :func:`scratch` ends, or for good without one.
@@ -60,7 +60,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = _scratch.get()[-1] if _scratch.get() else f"{shared_dir(spark)}/brinework"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

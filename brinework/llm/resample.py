@@ -20,7 +20,9 @@ ROW, ID = PREFIX + "row", PREFIX + "id"
 
 def text_words(text: str) -> Column:
     """Words of a text with A-Z lower-cased; null and empty texts have none."""
-    return F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), NO_WORD), lambda w: w != "")
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    low = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(low, NO_WORD), "")
 
 
 def hashed_positions(rows: DataFrame, *, text: str, orders: int, buckets: int) -> DataFrame:
@@ -29,8 +31,8 @@ def hashed_positions(rows: DataFrame, *, text: str, orders: int, buckets: int) -
     A run that goes beyond the last word has a null bucket; a row without
     words keeps one position of nulls.
     """
-    dealt = rows.select(ROW, ID, text_words(text).alias("words")).repartition(ROW)
-    table = dealt.select(ROW, ID, F.posexplode_outer("words").alias("pos", "word"))
+    dealt = rows.select(ROW, ID, text).repartition(ROW)
+    table = dealt.select(ROW, ID, F.posexplode_outer(text_words(text)).alias("pos", "word"))
     order = Window.partitionBy(ROW).orderBy("pos")
     table = table.select(ROW, ID, F.col("word").alias("w0"), *[F.lead("word", k).over(order).alias(f"w{k}") for k in range(1, orders)])
 
@@ -91,7 +93,7 @@ def resample(
     """
     names = [f"b{k}" for k in range(1, orders + 1)]
     rows = docs.select(F.monotonically_increasing_id().alias(ROW), integer_id(docs, doc_id).alias(ID), F.col(text).alias("text"))
-    table = materialize(hashed_positions(rows, text="text", orders=orders, buckets=buckets), "positions")
+    table = materialize(hashed_positions(rows, text="text", orders=orders, buckets=buckets), "positions", codec="zstd")
     other = target.select(F.monotonically_increasing_id().alias(ROW), F.lit(None).cast("long").alias(ID), F.col(text).alias("text"))
     wanted = bucket_counts(hashed_positions(other, text="text", orders=orders, buckets=buckets), orders, "t")
     gains = materialize(bucket_gains(materialize(bucket_counts(table, orders, "s"), "corpus"), materialize(wanted, "target"), buckets), "gains")
