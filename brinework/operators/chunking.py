@@ -89,13 +89,13 @@ def adaptive_splitter(text: str) -> list[str]:
 
 def table_row_splitter(text: str, size: int = 300) -> list[str]:
     """Table rows: cut behind the last ', ' or '. ' of each window of ``size`` characters; nothing is lost."""
-    parts = []
-    while len(text) > size:
-        cut = max(text.rfind(", ", 0, size), text.rfind(". ", 0, size))
-        cut = cut + 2 if cut >= 0 else size
-        parts.append(text[:cut])
-        text = text[cut:]
-    return [*parts, text]
+    parts, at = [], 0
+    while len(text) - at > size:
+        cut = max(text.rfind(", ", at, at + size), text.rfind(". ", at, at + size))
+        cut = cut + 2 if cut >= 0 else at + size
+        parts.append(text[at:cut])
+        at = cut
+    return [*parts, text[at:]]
 
 
 def oversized_splitter(text: str, size: int = 3850) -> list[str]:

@@ -117,17 +117,27 @@ def prefix_or_title(reports: DataFrame, files: DataFrame) -> DataFrame:
     Files become one row per day, and one per body of a day, before reports
     join them.  Titles meet the bodies of their day by the longest word inside
     the title, which a body that holds the title holds as a whole word; titles
-    of one or two words meet all bodies of their day.
+    of one or two words by their first two characters (or the only one).  A hash
+    of the body goes along with its words and characters, which are looked up by
+    the titles of the day; bodies join the few pairs that are left.
     """
     words = _NO_WORD
     dated = files.select(F.substring("name", 1, 8).alias("day"), "path", "body")
     days = dated.groupBy("day").agg(F.min("path").alias("_any"), F.min(F.struct(F.col("body").isNull().alias("n"), "path")).alias("_first"))
     parts = F.split("title", words)
-    inner = F.when(F.size(parts) > 2, F.array_max(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    titles = reports.where("title <> ''").select("day", "title").distinct().withColumn("_word", F.coalesce(inner, F.lit("")))
-    bodies = dated.groupBy("day", "body").agg(F.min("path").alias("_held"))
-    bodies = bodies.withColumn("_word", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("body", words)))))
-    held = titles.join(bodies, ["day", "_word"]).where(F.contains("body", "title")).groupBy("day", "title").agg(F.min("_held").alias("_held"))
+    inner = F.array_max(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    titles = reports.where("title <> ''").select("day", "title").distinct().withColumn("_word", F.when(F.size(parts) > 2, F.nullif(inner, F.lit(""))))
+    titles = titles.withColumn("_gram", F.when(F.col("_word").isNull(), F.substring("title", 1, 2)))
+    bodies = dated.where("body is not null").groupBy("day", "body").agg(F.min("path").alias("_held")).withColumn("_body", F.xxhash64("body"))
+    by_word = bodies.select("day", "_body", F.explode(F.array_distinct(F.split("body", words))).alias("_word"))
+    # only days with titles that have no inner word need the characters of their bodies
+    short = titles.where("_gram is not null").select("day").distinct()
+    signs = bodies.join(short, "day").select("day", "_body", F.split("body", "").alias("_signs"))
+    pairs = F.zip_with("_signs", F.slice("_signs", F.lit(2), F.size("_signs")), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    by_gram = signs.select("day", "_body", F.explode(F.array_distinct(F.concat("_signs", pairs))).alias("_gram"))
+    near = by_word.join(titles.where("_word is not null"), ["day", "_word"]).select("day", "_body", "title")
+    near = near.unionByName(by_gram.join(titles.where("_gram is not null"), ["day", "_gram"]).select("day", "_body", "title"))
+    held = near.join(bodies, ["day", "_body"]).where(F.contains("body", "title")).groupBy("day", "title").agg(F.min("_held").alias("_held"))
     path = F.coalesce("_held", F.when(F.col("title").isNull(), F.col("_any")).otherwise(F.col("_first.path")))
     by_day = reports.join(days, "day").join(held, ["day", "title"], "left").groupBy("report_id").agg(F.min(F.struct(F.col("_held").isNull().alias("n"), path.alias("path")))["path"].alias("path")).withColumn("matched_by", F.lit("day"))
     rest = reports.join(by_day, "report_id", "left_anti").withColumn("stub", F.substring("title", 1, 20)).where("length(stub) > 0")

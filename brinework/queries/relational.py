@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from brinework.functions.dates import temporal, temporal_filter
 from brinework.operators import chat, dedupe, joins, quiz, sequences
+from brinework.operators.bucketed import BucketedTable
 from brinework.queries import query, table
+from brinework.session import working_folder
+from brinework.sources import observed, variants
 from brinework.streaming import increments
 
 
@@ -291,3 +294,35 @@ def ordered_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good and bad rows of each batch, a batch being a user's events."""
     return increments.tallied(table(spark, sf_dir, "events"), F.col("value") > 1, ["user_id"])
+
+
+@query("SELECT user_id, event_type, max(ts) AS ts, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id, arg_max(value, {'t': ts, 'e': event_id}) AS value FROM events GROUP BY user_id, event_type")
+def upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the events in a bucketed table, the other half put into it; the later row of each key stays."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    stored = BucketedTable(working_folder(spark, "events"), ("user_id", "event_type"), ("ts", "event_id"), buckets=16)
+    stored.create(events.where("event_id % 2 = 0"))
+    stored.upsert(events.where("event_id % 2 = 1"))
+    return stored.read(spark)
+
+
+@query("SELECT 'events' AS run, count(*) AS rows, count(*) FILTER (value > 1) AS succeeded, count(*) FILTER (value IS NULL OR value <= 1) AS failed FROM events")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, good and bad ones of a run, counted by the job that writes the good ones."""
+    path = working_folder(spark, "run")
+    observed.write_observed(table(spark, sf_dir, "events"), f"{path}/rows", f"{path}/statistics", run="events", valid=F.col("value") > 1)
+    return observed.statistics_of(spark, f"{path}/statistics").select("run", "rows", "succeeded", "failed")
+
+
+@query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 40 AND 45")
+def variant_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties stored as VARIANT, their frequent path as a column that prunes the scan."""
+    path = working_folder(spark, "variants")
+    variants.write(table(spark, sf_dir, "events"), path, json="props", columns={"k": ("$.k", "bigint")}, by="k")
+    return spark.read.parquet(path).where("k between 40 and 45").select("event_id", "event_type", variants.at("$.k", "bigint").alias("k"))
+
+
+@query("SELECT '$.' || key AS path, count(*) AS rows FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key")
+def variant_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path of the properties with the number of rows that have it."""
+    return variants.paths(variants.parsed(table(spark, sf_dir, "events"), "props"), key="event_id").groupBy("path").agg(F.sum("rows").alias("rows"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinework.functions import pooling
 from brinework.functions.vectors import cosine, normalised
 from brinework.operators import cells, context, inverted, rerank, search
 from brinework.plans import sql_functions
@@ -84,6 +85,29 @@ def vector_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 5).alias("norm2"))
 
 
+_POOLED = (
+    "WITH t AS (SELECT label, vec_id // 16 AS part, vec_id, vec_id % 3 <> 0 AS on_, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), "
+    "p AS (SELECT label, part, i, avg(x) FILTER (on_) AS mean, arg_min(x, vec_id) AS first, max(x) FILTER (on_) AS max, arg_max(x, vec_id) FILTER (on_) AS last FROM t GROUP BY ALL) "
+    "SELECT label, part, i, round(coalesce(mean, 0), 6) AS mean, round(first, 6) AS first, round(max, 6) AS max, round(last, 6) AS last FROM p"
+)
+
+
+@query(_POOLED)
+def token_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of a label, some at a time, as tokens of a text of which every third is masked: pooled in four ways."""
+    emb = table(spark, sf_dir, "embeddings").withColumn("part", F.floor(F.col("vec_id") / 16))
+    rows = F.sort_array(F.collect_list(F.struct("vec_id", "embedding")))
+    texts = emb.groupBy("label", "part").agg(rows.alias("rows")).select(
+        F.struct("label", "part").alias("chunk_id"), F.transform("rows", lambda r: r["embedding"]).alias("tokens"), F.transform("rows", lambda r: (r["vec_id"] % 3 != 0).cast("int")).alias("mask")
+    )
+    out = None
+    for mode in pooling.MODES:
+        each = pooling.pooled(texts, mode).select("chunk_id", F.posexplode_outer("embedding").alias("i", mode))
+        each = each.where("i is not null").withColumn(mode, F.round(mode, 6))
+        out = each if out is None else out.join(each, ["chunk_id", "i"], "left")
+    return out.select("chunk_id.label", "chunk_id.part", (F.col("i") + 1).alias("i"), *pooling.MODES)
+
+
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole benchmark items."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

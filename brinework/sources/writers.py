@@ -36,7 +36,9 @@ def table_info(spark, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(n, e, spark.table(n).count() if e else 0) for n, e in rows], "table string, exists boolean, rows long")
 
 
-def comparison(results: DataFrame, *, query_id: str = "query_id", model: str = "model", value: str = "similarity") -> DataFrame:
-    """One row per query with a column per model."""
-    models = [r[0] for r in results.select(model).distinct().orderBy(model).limit(1000).collect()]
+def comparison(results: DataFrame, *, query_id: str = "query_id", model: str = "model", value: str = "similarity", most: int = 1000) -> DataFrame:
+    """One row per query with a column per model; more than ``most`` models are an error, since columns are named on the driver."""
+    models = [r[0] for r in results.select(model).distinct().orderBy(model).limit(most + 1).collect()]
+    if len(models) > most:
+        raise ValueError(f"more than {most} models: keep the results in rows, or raise most")
     return results.groupBy(query_id).pivot(model, models).agg(F.first(value))

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from brinework.catalog import QUERIES
 from brinework.operators import chunking, context, dedupe, joins, rerank, search, sequences, sft, structured
 from brinework.operators import metrics as M
 from brinework.plans import corpus
+from brinework.sources import writers
 
 
 def test_upsert_prefers_the_incoming_row_on_a_tie(spark):
@@ -33,6 +36,31 @@ def test_files_of_the_day_by_title_then_path(spark):
     assert got == {1: ("c", "day"), 2: ("b", "day"), 3: ("a", "day"), 4: ("e", "day"), 5: ("f", "title"), 6: (None, None)}
 
 
+def test_a_long_file_of_the_day_is_looked_up_by_its_words(spark):
+    body = " ".join(f"w{i}" for i in range(60_000))
+    titles = ["w7 w8 w9", "w59998 w59999", "8 w9", "no w8 w9", "w", "x", "9"]
+    reports = spark.createDataFrame([(i, "20240101", t) for i, t in enumerate(titles)], "report_id int, day string, title string")
+    files = spark.createDataFrame([("z", "20240101_z", body), ("a", "20240101_a", "short")], "path string, name string, body string")
+    began = time.time()
+    got = {titles[r.report_id]: r.path for r in joins.prefix_or_title(reports, files).collect()}
+    assert got == {t: "z" if t in body else "a" for t in titles}
+    assert time.time() - began < 60
+
+
+def test_table_rows_are_cut_in_one_pass():
+    text = "abc, d. " * 300_000
+    began = time.time()
+    parts = chunking.table_row_splitter(text)
+    assert "".join(parts) == text and max(map(len, parts)) <= 300 and time.time() - began < 5
+
+
+def test_comparison_takes_every_model_or_none(spark):
+    rows = spark.createDataFrame([(1, f"m{i:02}", float(i)) for i in range(12)], "query_id int, model string, similarity double")
+    assert len(writers.comparison(rows, most=12).columns) == 13
+    with pytest.raises(ValueError, match="models"):
+        writers.comparison(rows, most=11)
+
+
 def test_matches_run_over_all_rows(spark):
     sf = "/root/testdata/sf0.001"
     assert QUERIES["name_match_cascade"](spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").count()
