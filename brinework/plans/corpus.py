@@ -1,38 +1,46 @@
-"""Filing documents to chunks, as one lazy plan."""
+"""Filing documents to chunks, as one lazy plan without a shuffle: each document is one row from the start.
+
+A document, its blocks and its chunks must fit a task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinework.functions.dates import iso_dates
-from brinework.functions.text import contents_removed, path_simplified, special_chars_removed, squeezed, unmarked
-from brinework.operators.chunking import adaptive_splitter, merge_small, split_rows, with_chunk_metadata
-from brinework.operators.sequences import heading_paths, islands, neighbours, ordinal_ids, unit_above
-from brinework.operators.structured import any_filled, cells, row_map, sentence
-from brinework.sources.readers import lines
+from brinework.functions.text import contents_removed, path_simplified, special_chars_removed, squeezed, token_estimate, unmarked
+from brinework.operators.blocks import document_blocks, merged, numbered
+from brinework.operators.chunking import adaptive_splitter, split_rows, with_chunk_metadata
+from brinework.operators.narration import narrated
+
+_MAP = pa.map_(pa.string(), pa.string())
+_BLOCK = pa.schema([("doc_id", pa.string()), ("seq", pa.int32()), ("section_path", pa.string()), ("chunk_type", pa.string()), ("text", pa.string()), ("structured_data", _MAP), ("_data", _MAP), ("unit", pa.string())])
+_CHUNK = pa.schema([("doc_id", pa.string()), ("seq", pa.int64()), ("section_path", pa.string()), ("chunk_type", pa.string()), ("text", pa.string()), ("chunk_id", pa.string()), ("prev_context", pa.string()), ("next_context", pa.string())])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows = [(doc_id, seq, path, kind, text, data and [*data.items()], told and [*told.items()], unit) for seq, path, kind, text, data, told, unit in document_blocks(body or "")]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCK, strict=True)], schema=_BLOCK)
 
 
 def parse(documents: DataFrame) -> DataFrame:
     """Blocks of (doc_id, body) Markdown documents: doc_id, seq, section_path, chunk_type, text, structured_data, unit.
 
-    Paragraphs end at tables, headings and blank lines and need more than ten
-    characters.  Every table row with as many cells as the header becomes a
-    block of its own; empty rows are left out.
+    See :func:`brinework.operators.blocks.document_blocks`.  A table row's text is
+    a sentence by its section and keys, with numbers in the table's unit of
+    money written out.  A null body has no blocks.  Document ids are distinct.
     """
-    rows = unit_above(heading_paths(lines(documents.select("doc_id", "body"))))
-    is_table = F.col("line").startswith("|")
-    kind = F.when(is_table, "table").when(F.col("level").isNotNull(), "heading").when(F.trim("line") == "", "blank").otherwise("text")
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = rows.withColumn("kind", kind)
-    rows = islands(rows, ~F.coalesce(F.col("kind") == F.lag("kind").over(w), F.lit(False)), partition=["doc_id"], order=["line_no"], name="block")
-    prose = rows.where("kind = 'text'").groupBy("doc_id", "block").agg(F.min("line_no").alias("seq"), F.first("path").alias("section_path"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    prose = prose.select("doc_id", "seq", "section_path", F.lit("text").alias("chunk_type"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"), F.lit(None).cast("map<string,string>").alias("structured_data"), F.lit("").alias("unit")).where(F.length("text") > 10)
-    inside = Window.partitionBy("doc_id", "block").orderBy("line_no")
-    table = rows.where("kind = 'table'").withColumn("cells", cells("line")).withColumn("headers", F.first("cells").over(inside)).withColumn("at", F.row_number().over(inside)).withColumn("table_unit", F.first("unit").over(inside))
-    table = table.where((F.col("at") > 2) & any_filled(F.col("cells"))).withColumn("structured_data", row_map(F.col("headers"), F.col("cells"))).where("structured_data is not null")
-    table = table.select("doc_id", F.col("line_no").alias("seq"), F.col("path").alias("section_path"), F.lit("table_row").alias("chunk_type"), sentence("path", "structured_data").alias("text"), "structured_data", F.coalesce("table_unit", F.lit("")).alias("unit"))
-    return prose.unionByName(table)
+    kinds = "doc_id string, seq int, section_path string, chunk_type string, text string, structured_data map<string,string>, _data map<string,string>, unit string"
+    rows = documents.select(F.col("doc_id").cast("string"), "body").mapInArrow(_parsed, kinds)
+    told = F.when(F.col("chunk_type") == "table_row", narrated("section_path", "_data"))
+    return rows.withColumn("text", F.coalesce("text", told)).where("text is not null").drop("_data")
 
 
 def normalise(blocks: DataFrame) -> DataFrame:
@@ -41,22 +49,48 @@ def normalise(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("text", squeezed(text)).where("text <> ''")
 
 
+def _assembled(budget: int, merge: bool):
+    extra = [("merged_count", pa.int32())] if merge else [("split_index", pa.int32()), ("total_splits", pa.int32())]
+    schema = pa.schema([*_CHUNK, *extra])
+
+    def document(rows: list[dict]) -> pa.RecordBatch:
+        rows = numbered(rows[0]["doc_id"], merged(rows, budget) if merge else rows)
+        for r in rows:
+            r["seq"] = r["seq"] * 100_000 + r["split_index"]
+        return pa.RecordBatch.from_pylist([{f.name: r[f.name] for f in schema} for r in rows], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["doc_id"] != held[0]["doc_id"]:
+                    yield document(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield document(held)
+
+    return run
+
+
+def _chunked(blocks: DataFrame, *, budget: int, merge: bool) -> DataFrame:
+    """Chunks of blocks that stand document by document, in order, in their partitions."""
+    parts = split_rows(blocks.select("doc_id", "seq", "section_path", "chunk_type", "text"), adaptive_splitter)
+    parts = parts.select("doc_id", "seq", "section_path", "chunk_type", F.col("part").alias("text"), "split_index", "total_splits", token_estimate("part").alias("tokens"))
+    kinds = "doc_id string, seq long, section_path string, chunk_type string, text string, chunk_id string, prev_context string, next_context string, " + ("merged_count int" if merge else "split_index int, total_splits int")
+    out = parts.mapInArrow(_assembled(budget, merge), kinds)
+    return with_chunk_metadata(out.withColumn("document_name", F.col("section_path")))
+
+
 def chunk(blocks: DataFrame, *, budget: int = 7000, merge: bool = True) -> DataFrame:
     """Split, merged, numbered chunks with context and metadata.
 
     Chunks are put in order by line and part; ``seq`` is a long, 100,000 times
-    the line plus the part.
+    the line plus the part.  The blocks are dealt to tasks by document.
     """
-    parts = split_rows(blocks.select("doc_id", "seq", "section_path", "chunk_type", "text"), adaptive_splitter)
-    parts = parts.withColumn("seq", F.struct("seq", "split_index")).withColumn("text", F.col("part")).drop("part")
-    if merge:
-        parts = merge_small(parts, budget=budget)
-    parts = ordinal_ids(parts, document="doc_id", kind="chunk_type", section="section_path", order=["seq"])
-    parts = neighbours(parts, partition=["doc_id"], order=["seq"])
-    parts = parts.withColumn("seq", F.col("seq.seq").cast("long") * 100_000 + F.col("seq.split_index"))
-    return with_chunk_metadata(parts.withColumn("document_name", F.col("section_path")))
+    return _chunked(blocks.repartition("doc_id").sortWithinPartitions("doc_id", "seq"), budget=budget, merge=merge)
 
 
 def build(documents: DataFrame) -> DataFrame:
     """Documents (doc_id, body) to chunks."""
-    return chunk(normalise(parse(documents)))
+    return _chunked(normalise(parse(documents)), budget=7000, merge=True)

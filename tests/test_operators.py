@@ -208,6 +208,54 @@ def test_corpus_keeps_tables_and_prose(spark):
     assert {r.data_category for r in rows} == {"financial_statement"}
 
 
+TABLES = {
+    "numbered rows": ("| 항목 | 항목 | 값 |\n| --- | --- | --- |\n| 1. 계약금액 | 1. 계약금액 | 1,000 |\n| 2. 기간 | 시작일 | 2025-01-10 |\n| 3. 비고 | - | - |", [("1. 계약금액: 1000000", {"1. 계약금액": "1,000"}), ("2. 기간 > 시작일: 2025-01-10", {"2. 기간 > 시작일": "2025-01-10"})]),
+    "period header": ("| 제 10 기 | 금액 |\n| --- | --- |\n| 이익 | **2,500** |", [("이익: 2500000", {"이익": "2,500"})]),
+    "words of time": ("| 가 | 나 | 다 | 라 |\n| --- | --- | --- | --- |\n| 회계 | 부터 | 까지 | 2024년 |", [("회계 > 부터 > 까지: 2024년", {"회계 > 부터 > 까지": "2024년"})]),
+    "labels": ("| x | y |\n| --- | --- |\n| 매출액 | 12억원 |\n| 설립일 | 1,5 |", [("설립일: 15000", {"설립일": "1,5"})]),
+    "headers": ("| 이름 | 당기 | 전기 | 비율 |\n| --- | --- | --- | --- |\n| 갑 | 1,200 | - | 3.5 |\n| 을 | 7 |\n| - | - | - | - |", [(None, {"이름": "갑", "당기": "1,200", "전기": "-", "비율": "3.5"})]),
+}
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_tables_are_read_down_or_across_in_their_unit(spark, name):
+    table, want = TABLES[name]
+    body = f"# 개요\n(단위 : 천원)\n(단위: 명)\n{table}"
+    got = corpus.parse(spark.createDataFrame([("d", body), ("e", None)], "doc_id string, body string")).where("chunk_type = 'table_row'").orderBy("seq").collect()
+    assert [r.structured_data for r in got] == [data for _, data in want]
+    assert [r.text for r in got if name != "headers"] == [text for text, _ in want if text]
+    assert {r.unit for r in got} == {"천원"} and all("1200000" in r.text for r in got if name == "headers")
+
+
+def test_chunks_equal_a_plain_pass_over_each_document(spark):
+    """Chunks of every document of the smallest tables, against windows written out as loops."""
+    docs = {str(r.doc_id): r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    docs["md"] = "# A\n## B\nfirst paragraph here\n\n| x | 매출 | z | w |\n| - | - | - | - |\n| a | 1 | 2 | 3 |\n# C\n" + "long text. " * 200
+    docs |= {"none": None, "empty": ""}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id string, body string")
+    clean = corpus.normalise(corpus.parse(frame)).orderBy("doc_id", "seq").collect()
+    want = []
+    for doc in sorted({r.doc_id for r in clean}):
+        parts = [(r.section_path, r.chunk_type, p, r.seq * 100_000 + i) for r in clean if r.doc_id == doc for i, p in enumerate(chunking.adaptive_splitter(r.text))]
+        groups, n = [], {}
+        for path, kind, text, seq in parts:
+            if groups and groups[-1][:2] == [path, kind] and sum(len(t) // 4 for t in groups[-1][2]) + len(text) // 4 <= 7000:
+                groups[-1][2].append(text)
+            else:
+                groups.append([path, kind, [text], seq])
+        texts = ["\n".join(g[2]) for g in groups]
+        for i, (path, kind, some, seq) in enumerate(groups):
+            n[kind] = n.get(kind, -1) + 1
+            name = "".join(c for c in path.split(" > ")[-1] if c.isalnum() or c == "_")[:10]
+            beside = [" ".join(t.split(" ")[:100]) + ("..." if t.count(" ") >= 100 else "") for t in texts[max(0, i - 1) : i]], [" ".join(t.split(" ")[:100]) + ("..." if t.count(" ") >= 100 else "") for t in texts[i + 1 : i + 2]]
+            want.append((doc, seq, f"{doc}_{kind}_{name}_{n[kind]:03d}", kind, len(some), texts[i], *(b[0] if b else None for b in beside)))
+    got = corpus.build(frame).select("doc_id", "seq", "chunk_id", "chunk_type", "merged_count", "text", "prev_context", "next_context")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    again = corpus.chunk(corpus.normalise(corpus.parse(frame)).repartition(5, "seq")).select(got.columns)
+    assert sorted(map(tuple, again.collect())) == sorted(want)
+    assert "Exchange" not in corpus.build(frame)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_corpus_orders_texts_of_many_lines(spark):
     body = "\n".join(["The first paragraph."] + [""] * 29_998 + ["The last paragraph."])
     rows = corpus.build(spark.createDataFrame([("d1", body)], "doc_id string, body string")).orderBy("seq").collect()
