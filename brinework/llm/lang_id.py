@@ -72,17 +72,26 @@ def predict_block(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -
     return p.argmax(1), p.max(1)
 
 
-def fit(docs: DataFrame, *, max_rows: int = 1500, least: int = 4, max_bytes: int = 1 << 14, modulus: int = 4, remainder: int = 2) -> LanguageModel:
+def fit(docs: DataFrame, *, max_rows: int = 1500, least: int = 4, max_langs: int = 1000, max_bytes: int = 1 << 14, modulus: int = 4, remainder: int = 2) -> LanguageModel:
     """Train on at most ``max_rows`` texts with a language whose id hash is not held out.
 
     Every language is learned: an equal share of the sample is taken of each,
     in order of a hash of the id, and ``least`` texts where that is more, so
-    the sample has at most max(max_rows, least * languages) texts.  Both bounds
-    and ``max_bytes`` hold for fitting only.  Repeated rows count as one.
+    the sample has at most max(max_rows, least * languages) texts.  More than
+    ``max_langs`` languages are an error: names so many are no languages.  Of a
+    text of more than ``max_bytes`` bytes a quarter as many characters are
+    learned, from a place that a hash chooses.  The bounds hold for fitting
+    only.  Repeated rows count as one.
     """
-    able = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id", modulus, remainder) & F.octet_length("text").between(1, max_bytes)).select("doc_id", "lang", "text")
+    take = max_bytes // 4
+    begin = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.char_length("text") - take, F.lit(1))).cast("int") + 1
+    body = F.when(F.octet_length("text") > max_bytes, F.substring("text", begin, F.lit(take))).otherwise(F.col("text"))
+    able = docs.where(F.col("lang").isNotNull() & ~held_out("doc_id", modulus, remainder) & (F.octet_length("text") > 0)).select("doc_id", "lang", body.alias("text"))
     known = materialize(able.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    each = max(least, max_rows // max(1, known.count()))
+    names = known.count()
+    if names > max_langs:
+        raise ValueError(f"{names} languages, more than max_langs={max_langs}")
+    each = max(least, max_rows // max(1, names))
     # a first cut by the hash leaves a few times as many rows, so ordering those of a language is a small task
     mark = F.xxhash64("doc_id", "text")
     cut = F.pmod(mark, F.greatest(F.lit(1), F.floor(F.col("n") / (4 * each)))) == 0
