@@ -19,8 +19,17 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Runs that the Markov models judge.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Key characters a run must have at least to be judged by the Markov models.
+LEAST = 12
+_BASE = "|".join((ASSIGN.replace("([A-Za-z0-9", "(?:[A-Za-z0-9"), ACCESS, HEX))
+#: What the fixed patterns match, or a run of key characters in which none of them begins.
+_KEY = "[A-Za-z0-9+/_=-]"
+# a run begins where no key character stands before it, or where a match has just ended
+TOKEN = rf"{_BASE}|(?:(?<!{_KEY})|\G)(?={_KEY}{{{LEAST}}})(?:(?!{_BASE}){_KEY}){{{LEAST},}}"
+#: The same where no fixed pattern matches.
+RUN = rf"{_KEY}{{{LEAST},}}"
+#: Stretches of a run between the characters that part names and paths.
+PART = rf"[A-Za-z0-9+]{{{LEAST},}}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _N = len(ALPHABET) + 1  # the last state is the edge of a string
 
@@ -48,13 +57,14 @@ def _states(word: Column) -> Column:
     return F.concat(edge, inner, edge)
 
 
-def default_samples(spark: SparkSession, docs: DataFrame, *, text: str = "text", per_class: int = 20_000) -> DataFrame:
+def default_samples(spark: SparkSession, docs: DataFrame, *, text: str = "text", per_class: int = 20_000, words_each: int = 20) -> DataFrame:
     """Labelled samples (text, random): generated keys against words of the corpus.
 
     Random strings are base64, alphanumeric and hexadecimal renderings of SHA-2
     digests of 1..per_class.  Ordinary identifiers are words of the documents,
-    alone and joined in pairs by ``_`` or ``-`` or by a capital; at most
-    ``per_class`` documents, in order of a hash of their words, give 20 words each.
+    alone and joined in pairs by ``_ - / =``, by a number or by a capital; at most
+    ``per_class`` documents, in order of a hash of their words, give ``words_each`` words each.
+    Both bounds hold for fitting only.
     """
     digest = F.sha2(F.col("id").cast("string"), 256)
     base64 = F.base64(F.unhex(digest))
@@ -63,9 +73,12 @@ def default_samples(spark: SparkSession, docs: DataFrame, *, text: str = "text",
     share = max(1, docs.count() // (2 * max(1, per_class)))
     some = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(share)) == 0)
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ASSIGN + "|" + ACCESS + "|" + HEX, " ")
-    words = some.select(F.slice(F.regexp_extract_all(plain, F.lit(r"[A-Za-z]{2,}"), F.lit(0)), 1, 20).alias("w")).where(F.size("w") > 1).distinct()
+    words = some.select(F.slice(F.regexp_extract_all(plain, F.lit(r"[A-Za-z]{2,}"), F.lit(0)), 1, words_each).alias("w")).where(F.size("w") > 1).distinct()
     words = words.orderBy(F.xxhash64(F.concat_ws(" ", "w")), "w").limit(per_class)
-    pair = F.zip_with(F.col("w"), F.concat(F.slice("w", 2, 19), F.array(F.lit("id"))), lambda a, b: F.concat(a, F.when(F.length(a) % 3 == 0, F.lit("_")).when(F.length(a) % 3 == 1, F.lit("-")).otherwise(F.lit("")), F.when(F.length(a) % 3 == 2, F.initcap(b)).otherwise(b)))
+    # words joined as names and paths join them, and words with a number behind
+    k = lambda a: F.length(a) % 6
+    joint = lambda a: F.when(k(a) == 0, "_").when(k(a) == 1, "-").when(k(a) == 2, "/").when(k(a) == 3, "=").when(k(a) == 4, F.length(a).cast("string")).otherwise("")
+    pair = F.zip_with(F.col("w"), F.concat(F.slice("w", 2, words_each - 1), F.array(F.lit("id"))), lambda a, b: F.concat(a, joint(a), F.when(k(a) == 5, F.initcap(b)).otherwise(b)))
     ordinary = words.select(F.explode(F.concat("w", pair)).alias("text"), F.lit(False).alias("random"))
     return random.unionByName(ordinary)
 
@@ -99,28 +112,41 @@ def scan(docs: DataFrame, model: list[float], *, threshold: float = 12.0, text:
 
     Fixed patterns come first: ``assign`` (a named value of 6 or more
     characters), ``access`` and ``hex`` keys, each leftmost and non-overlapping
-    within its kind.  A run of 20 or more key characters, with a digit and a
-    letter and apart from all fixed spans, is added as ``markov`` when its log-
-    likelihood ratio is at least ``threshold``.  Start and end count code
+    within its kind.  Runs of ``LEAST`` or more key characters beside and between
+    the fixed spans are judged by the Markov models: a run whose log-likelihood
+    ratio is at least ``threshold`` is added as ``markov``, else those of its
+    stretches between ``/ = _ -`` that reach it; runs without a letter are numbers.  Start and end count code
     points, the end is exclusive; spans are sorted by start, then kind.  Null
-    texts have no spans.  Other columns stay; one that bears the new name is
-    replaced.
+    and empty texts have no spans; repeated rows have the same spans each; an
+    empty table gives an empty result.  Other columns stay; one that bears the
+    new name is replaced.
     """
     docs = docs.drop(spans_col)
-    body, base = PREFIX + "body", PREFIX + "base"
+    body, base, named = PREFIX + "body", PREFIX + "base", PREFIX + "named"
     value = F.coalesce(F.col(text), F.lit(""))
 
     def kind(name: str, col: Column) -> Column:
         return F.transform(col, lambda x: F.struct(F.lit(KINDS.index(name)).alias("k"), x["start"].alias("start"), x["end"].alias("end")))
 
-    assign = F.filter(matches(F.col(body), ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 1)) >= 6)
+    assign = F.filter(F.col(named), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 1)) >= 6)
     fixed = F.concat(kind("assign", assign), kind("access", matches(F.col(body), ACCESS)), kind("hex", matches(F.col(body), HEX)))
-    out = docs.withColumn(body, value).withColumn(base, fixed)
-    apart = F.filter(matches(F.col(body), CANDIDATE), lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]") & ~F.exists(F.col(base), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    more = F.filter(apart, lambda x: log_ratio(x["m"], model) >= threshold)
+    out = docs.withColumn(body, value).withColumn(named, matches(F.col(body), ASSIGN)).withColumn(base, fixed)
+    beside = F.filter(matches(F.col(body), TOKEN), lambda x: ~x["m"].rlike(f"^(?:{_BASE})"))
+    # a text without fixed spans, as most are, has its runs by a plainer pattern
+    runs = F.when((F.size(F.col(base)) > 0) | (F.size(F.col(named)) > 0), beside).otherwise(matches(F.col(body), RUN))
+
+    def random(m: Column) -> Column:
+        return m.rlike("[A-Za-z]") & (log_ratio(m, model) >= threshold)
+
+    def judged(run: Column) -> Column:
+        parts = F.transform(matches(run["m"], PART), lambda p: F.struct(p["m"].alias("m"), (run["start"] + p["start"]).alias("start"), (run["start"] + p["end"]).alias("end")))
+        inside = F.when(run["m"].rlike("[/=_-]"), F.filter(parts, lambda p: random(p["m"])))
+        return F.when(random(run["m"]), F.array(run)).otherwise(F.coalesce(inside, F.array().cast("array<struct<m:string,start:bigint,end:bigint>>")))
+
+    more = F.flatten(F.transform(runs, judged))
     merged = F.sort_array(F.transform(F.concat(base, kind("markov", more)), lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"))))
     names = F.array(*[F.lit(k) for k in KINDS])
-    return out.withColumn(spans_col, F.transform(merged, lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))).drop(body, base)
+    return out.withColumn(spans_col, F.transform(merged, lambda x: F.struct(F.get(names, x["k"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))).drop(body, base, named)
 
 
 def spans_text(spans: Column) -> Column:
