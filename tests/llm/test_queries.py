@@ -55,9 +55,10 @@ def test_languages_of_rows_it_did_not_learn(spark, docs):
     assert (held.lang_pred == docs.loc[held.index].lang).mean() > 0.95
 
 
-def test_exact_dedup_equals_sql(spark):
-    want = connection(SF).sql(queries.ORACLES["op3_exact_dedup"]).df()
-    assert rows(queries.op3_exact_dedup(spark, SF).toPandas()) == rows(want)
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    want = connection(SF).sql(queries.ORACLES[name]).df()
+    assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(want)
 
 
 def test_contamination_finds_all_verbatim_items(spark, docs):
