@@ -14,17 +14,17 @@ from brinework.sources.writers import comparison
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per query: the texts found, in order, and expected keywords (four words of the item)."""
+    """Per query: the texts found, in order, and expected keywords (the words of six letters and more of the item)."""
     found = _candidates(spark, sf_dir)
     words = search.tokens(F.col("query"))
     rows = found.groupBy("query_id", "query").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "content", "similarity"))), lambda s: F.struct(s["content"].alias("c"), s["similarity"].alias("s"))).alias("l"))
-    expected = F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 6)), 1, 4)
+    expected = F.array_distinct(F.filter(words, lambda w: F.length(w) >= 6))
     return rows.select("query_id", "query", F.transform("l", lambda x: x["c"]).alias("texts"), F.transform("l", lambda x: x["s"]).alias("sims"), expected.alias("expected"))
 
 
 _LISTS = (
     f"{_CAND}, l AS (SELECT query_id, query, list(lower(content) ORDER BY rank) AS t, list(sim ORDER BY rank) AS sims, any_value(list_distinct_kept) AS e FROM (SELECT *, "
-    r"list_filter(regexp_extract_all(lower(query), '[\p{L}\p{N}]+'), lambda w: len(w) >= 6) AS ws, list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: list_position(ws, z[1]) = z[2]), lambda z: z[1])[1:4] AS list_distinct_kept FROM p) GROUP BY query_id, query), "
+    r"list_filter(regexp_extract_all(lower(query), '[\p{L}\p{N}]+'), lambda w: len(w) >= 6) AS ws, list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda z: list_position(ws, z[1]) = z[2]), lambda z: z[1]) AS list_distinct_kept FROM p) GROUP BY query_id, query), "
     "hh AS (SELECT *, list_transform(t, lambda x: len(list_filter(e, lambda k: contains(x, k)))) AS hits FROM l), "
     "g AS (SELECT *, list_transform(hits[1:5], lambda n: CASE WHEN n > 0 THEN 1 ELSE 0 END) AS rel FROM hh), "
     "m AS (SELECT query_id, CASE WHEN len(e) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(e, lambda k: len(list_filter(t[1:5], lambda x: contains(x, k))) > 0)) / len(e) END AS recall, "

@@ -162,11 +162,12 @@ def structured_row_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", structured.pairs_text(data).alias("said"))
 
 
-@query("SELECT event_id, 'b' AS winner, event_type AS kept FROM events")
+@query("SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN CAST(user_id AS VARCHAR) ELSE json_extract_string(props, '$.k') END AS winner, event_type AS kept FROM events")
 def map_merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.create_map(F.lit("k"), F.lit("a"), F.lit("t"), F.col("event_type"))
-    two = F.create_map(F.lit("k"), F.lit("b"))
-    m = structured.merged(one, two)
+    """The properties of an event with its type, and for some events with the user in place of a property."""
+    props = F.from_json("props", "map<string,string>")
+    user = F.when(F.col("event_type").isin("view", "click"), F.create_map(F.lit("k"), F.col("user_id").cast("string")))
+    m = structured.merged(props, F.create_map(F.lit("t"), F.col("event_type")), user)
     return table(spark, sf_dir, "events").select("event_id", m["k"].alias("winner"), m["t"].alias("kept"))
 
 
