@@ -6,15 +6,17 @@ A document, its blocks and its chunks must fit a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinework.functions.dates import iso_dates
-from brinework.functions.text import contents_removed, path_simplified, special_chars_removed, squeezed, token_estimate, unmarked
+from brinework.functions.text import contents_removed, path_simplified, special_chars_removed, squeezed, unmarked
 from brinework.operators.blocks import document_blocks, merged, numbered
-from brinework.operators.chunking import adaptive_splitter, split_rows, with_chunk_metadata
+from brinework.operators.chunking import adaptive_splitter, with_chunk_metadata
 from brinework.operators.narration import narrated
 
 _MAP = pa.map_(pa.string(), pa.string())
@@ -22,12 +24,24 @@ _BLOCK = pa.schema([("doc_id", pa.string()), ("seq", pa.int32()), ("section_path
 _CHUNK = pa.schema([("doc_id", pa.string()), ("seq", pa.int64()), ("section_path", pa.string()), ("chunk_type", pa.string()), ("text", pa.string()), ("chunk_id", pa.string()), ("prev_context", pa.string()), ("next_context", pa.string())])
 
 
+#: Rows of one Arrow batch that a fold gives out.
+BATCH_ROWS = 1000
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of some ``BATCH_ROWS`` rows each."""
+    while some := list(islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = [(doc_id, seq, path, kind, text, data and [*data.items()], told and [*told.items()], unit) for seq, path, kind, text, data, told, unit in document_blocks(body or "")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCK, strict=True)], schema=_BLOCK)
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for doc_id, body in zip(*batch.columns, strict=True):
+                for seq, path, kind, text, data, told, unit in document_blocks(body.as_py() or ""):
+                    yield doc_id.as_py(), seq, path, kind, text, data and [*data.items()], told and [*told.items()], unit
+
+    yield from _batches(rows(), _BLOCK)
 
 
 def parse(documents: DataFrame) -> DataFrame:
@@ -53,32 +67,25 @@ def _assembled(budget: int, merge: bool):
     extra = [("merged_count", pa.int32())] if merge else [("split_index", pa.int32()), ("total_splits", pa.int32())]
     schema = pa.schema([*_CHUNK, *extra])
 
-    def document(rows: list[dict]) -> pa.RecordBatch:
-        rows = numbered(rows[0]["doc_id"], merged(rows, budget) if merge else rows)
-        for r in rows:
-            r["seq"] = r["seq"] * 100_000 + r["split_index"]
-        return pa.RecordBatch.from_pylist([{f.name: r[f.name] for f in schema} for r in rows], schema=schema)
+    def document(blocks: list[tuple]) -> Iterator[tuple]:
+        parts = []
+        for doc_id, seq, path, kind, text in blocks:
+            split = adaptive_splitter(text)
+            parts += [{"doc_id": doc_id, "seq": seq * 100_000 + i, "section_path": path, "chunk_type": kind, "text": t, "tokens": len(t) // 4, "split_index": i, "total_splits": len(split)} for i, t in enumerate(split)]
+        for r in numbered(blocks[0][0], merged(parts, budget) if merge else parts):
+            yield tuple(r[f.name] for f in schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and row["doc_id"] != held[0]["doc_id"]:
-                    yield document(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield document(held)
+        blocks = (tuple(x.as_py() for x in row) for batch in batches for row in zip(*batch.columns, strict=True))
+        yield from _batches(chain.from_iterable(document(list(some)) for _, some in groupby(blocks, key=itemgetter(0))), schema)
 
     return run
 
 
 def _chunked(blocks: DataFrame, *, budget: int, merge: bool) -> DataFrame:
     """Chunks of blocks that stand document by document, in order, in their partitions."""
-    parts = split_rows(blocks.select("doc_id", "seq", "section_path", "chunk_type", "text"), adaptive_splitter)
-    parts = parts.select("doc_id", "seq", "section_path", "chunk_type", F.col("part").alias("text"), "split_index", "total_splits", token_estimate("part").alias("tokens"))
     kinds = "doc_id string, seq long, section_path string, chunk_type string, text string, chunk_id string, prev_context string, next_context string, " + ("merged_count int" if merge else "split_index int, total_splits int")
-    out = parts.mapInArrow(_assembled(budget, merge), kinds)
+    out = blocks.select("doc_id", "seq", "section_path", "chunk_type", "text").mapInArrow(_assembled(budget, merge), kinds)
     return with_chunk_metadata(out.withColumn("document_name", F.col("section_path")))
 
 
