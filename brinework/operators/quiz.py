@@ -15,11 +15,14 @@ def walk(answers: DataFrame, transitions: DataFrame, questions: DataFrame, first
     next), the fixed tree; questions: (question, answer, difficulty).  Both of
     the latter are small dimensions and broadcast.  A question without an
     answer counts as wrong; a user without answers isn't in the result.
+
+    Answers are merged with the users at each step, never broadcast: rows made
+    by an explode look smaller to the planner than they are.
     """
     users = answers.select("user_id").distinct().withColumn("question", F.lit(first))
-    out = None
+    given, out = answers.hint("merge"), None
     for step in range(1, steps + 1):
-        asked = users.join(answers, ["user_id", "question"], "left").join(F.broadcast(questions), "question")
+        asked = users.join(given, ["user_id", "question"], "left").join(F.broadcast(questions), "question")
         graded = asked.select("user_id", F.lit(step).alias("step"), "question", F.coalesce(F.col("choice") == F.col("answer"), F.lit(False)).alias("correct"), "difficulty")
         out = graded if out is None else out.unionByName(graded)
         edges = F.broadcast(transitions.where(F.col("step") == step).drop("step").withColumnRenamed("current", "question"))

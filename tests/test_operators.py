@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinework.catalog import QUERIES
-from brinework.operators import chunking, context, dedupe, joins, rerank, search, sequences, sft, structured
+from brinework.operators import chunking, context, dedupe, joins, quiz, rerank, search, sequences, sft, structured
 from brinework.operators import metrics as M
 from brinework.plans import corpus
 from brinework.sources import writers
@@ -290,3 +290,15 @@ def test_an_alias_of_one_character_is_found(spark):
     questions = spark.createDataFrame([("오늘 갑 실적",)], "question string")
     companies = spark.createDataFrame([("갑", "000001", "갑")], "alias string, ticker string, corp_name string")
     assert joins.question_companies(questions, companies).count() == 1
+
+
+def test_quiz_answers_are_never_broadcast(spark):
+    """The answers look small to the planner, since rows are made by an explode; only the tree and the questions are broadcast."""
+    answers = spark.createDataFrame([(1, "a", 1), (1, "b", 0), (1, "b", 1), (2, "b", 1), (None, "a", 1), (3, "a", None)], "user_id long, question string, choice int")
+    questions = spark.createDataFrame([("a", 1, "easy"), ("b", 1, "hard")], "question string, answer int, difficulty string")
+    tree = spark.createDataFrame([(1, "a", True, "b"), (1, "a", False, "a")], "step int, current string, correct boolean, next string")
+    got = quiz.walk(answers, tree, questions, "a", steps=2)
+    want = [(None, 1, "a", False), (None, 2, "a", False), (1, 1, "a", True), (1, 2, "b", False), (1, 2, "b", True), (2, 1, "a", False), (2, 2, "a", False), (3, 1, "a", False), (3, 2, "a", False)]
+    assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("Join" in line for line in plan) == sum(("strategy=broadcast" in line) or ("strategy=merge" in line) for line in plan) == 7
