@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,25 +59,35 @@ def split_text(text: str, size: int, overlap: int = 0, separators: tuple[str, ..
     return parts
 
 
+#: Parts of one Arrow batch that ``split_rows`` gives out.
+BATCH_PARTS = 1000
+
+
 def split_rows(df: DataFrame, splitter, *, text: str = "text", part: str = "part", index: str = "split_index", total: str = "total_splits") -> DataFrame:
-    """One row per part of each text, with its number and the count; all other columns repeat.
+    """One row per part of each text, with its number and the count; all other columns but the text repeat.
 
     ``splitter`` maps a text to its parts.  Null and empty texts give one row.
+    The whole text is not repeated beside its parts: that would grow with the
+    square of its length.  One text and its parts must fit a task.
     """
-    rest = [f for f in df.schema.fields if f.name not in (part, index, total)]
+    rest = [f for f in df.schema.fields if f.name not in (text, part, index, total)]
+    names = [f.name for f in rest]
     schema = T.StructType([*rest, T.StructField(part, T.StringType()), T.StructField(index, T.IntegerType()), T.StructField(total, T.IntegerType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = [splitter(t) if isinstance(t, str) and t else [t] for t in pdf[text]]
-            sizes = [len(p) for p in parts]
-            out = pdf.loc[pdf.index.repeat(sizes)].reset_index(drop=True)
-            out[part] = [x for p in parts for x in p]
-            out[index] = [i for n in sizes for i in range(n)]
-            out[total] = [n for n in sizes for _ in range(n)]
-            yield out
-
-    return df.select(*[f.name for f in rest]).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others, rows = batch.select(names), ((i, *r) for i, t in enumerate(batch.column(text)) for r in _numbered_parts(t.as_py(), splitter))
+            while some := list(islice(rows, BATCH_PARTS)):
+                at, *columns = zip(*some, strict=True)
+                made = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*others.take(pa.array(at, pa.int64())).columns, *made], names=[*names, part, index, total])
+
+    return df.select(*[F.col(f"`{n}`") for n in names], F.col(text)).mapInArrow(run, schema)
+
+
+def _numbered_parts(text: str | None, splitter) -> Iterator[tuple[str | None, int, int]]:
+    parts = splitter(text) if text else [text]
+    return ((p, i, len(parts)) for i, p in enumerate(parts))
 
 
 def adaptive_splitter(text: str) -> list[str]:

@@ -302,3 +302,16 @@ def test_quiz_answers_are_never_broadcast(spark):
     assert sorted((tuple(r)[:4] for r in got.collect()), key=str) == sorted(want, key=str)
     plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert sum("Join" in line for line in plan) == sum(("strategy=broadcast" in line) or ("strategy=merge" in line) for line in plan) == 7
+
+
+def test_a_text_is_not_repeated_beside_its_parts(spark):
+    """A text of n characters used to leave its task n / 300 times over."""
+    long = "some words, " * 200_000
+    rows = spark.createDataFrame([(1, "x", long), (2, None, ""), (3, "z", None), (4, "w", "short")], "k int, note string, text string")
+    out = chunking.split_rows(rows.coalesce(1), chunking.table_row_splitter)
+    assert out.columns == ["k", "note", "part", "split_index", "total_splits"]
+    got = sorted(map(tuple, out.collect()), key=lambda r: (r[0], r[3]))
+    assert "".join(r[2] for r in got if r[0] == 1) == long and {r[1] for r in got if r[0] == 1} == {"x"}
+    n = len(got) - 3
+    assert [r[3:] for r in got[:n]] == [(i, n) for i in range(n)]
+    assert got[n:] == [(2, None, "", 0, 1), (3, "z", None, 0, 1), (4, "w", "short", 0, 1)]
