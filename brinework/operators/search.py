@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from brinework.functions.vectors import cosine
 
 #: Queries of one block, and bytes of the vectors of one part: a task holds both, and their product.
 QUERY_BLOCK, PART_BYTES = 1024, 16_000_000
+#: Chunks times words of all queries of one block of a keyword search.
+BLOCK_CELLS = 2_000_000
+#: Hits (ids and scores) that are broadcast to be joined with their chunks.
+BROADCAST_HITS = 1_000_000
 
 
 def vector_topk(embeddings: DataFrame, query: list[float], *, k: int = 5, min_similarity: float = 0.0, condition: Column | None = None, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -77,31 +82,116 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _word_hits(asked: pa.Table, ids: str, out: list[str], k: int | None, every: bool):
+    """Arrow batches of (id, words) to (query, id, score): all hits, or the k best of each query in the task.
+
+    asked: (query, need, word, n).  Words of a text are counted where it is
+    read, some texts at a time (``BLOCK_CELLS``); of k best no more are held.
+    """
+    names, wanted = asked.column_names, asked.group_by(asked.column_names[:2], use_threads=False).aggregate([])
+    place = {q: i for i, q in enumerate(zip(*(wanted[c].to_pylist() for c in names[:2]), strict=True))}
+    of = np.array([place[q] for q in zip(*(asked[c].to_pylist() for c in names[:2]), strict=True)], np.int64)
+    words = asked[names[2]].combine_chunks().dictionary_encode()
+    codes, vocabulary, weight = words.indices.to_numpy(), words.dictionary, asked[names[3]].to_numpy()
+    order = np.argsort(codes, kind="stable")
+    of, weight, degree = of[order], weight[order], np.bincount(codes, minlength=len(vocabulary))
+    first, need, queries = np.cumsum(degree) - degree, wanted[names[1]].to_numpy(), len(place)
+    step = max(1, BLOCK_CELLS // max(1, len(of)))
+
+    def block(tokens: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, query and score of the hits of some texts."""
+        pairs, n = np.unique(rows * len(vocabulary) + tokens, return_counts=True)
+        row, code = np.divmod(pairs, len(vocabulary))
+        times = degree[code]
+        at = np.repeat(first[code] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        cell, shape = np.repeat(row, times) * queries + of[at], (len(sizes), queries)
+        got = np.bincount(cell, weight[at], len(sizes) * queries).reshape(shape)
+        row, query = np.nonzero(got == need if every else got)
+        tf = np.bincount(cell, weight[at] * np.repeat(n, times), len(sizes) * queries).reshape(shape)
+        return row, query, tf[row, query] / sizes[row]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(t: pa.Table) -> list[pa.RecordBatch]:
+            made = [wanted[names[0]].combine_chunks().take(t["q"].combine_chunks()), t["id"].combine_chunks(), t["score"].combine_chunks()]
+            return pa.Table.from_arrays(made, names=out).to_batches()
+
+        best, least = None, np.zeros(queries)
+        for batch in batches:
+            lists, of_id = batch.column("_words"), batch.column(ids)
+            ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+            found = pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1).to_numpy().astype(np.int64)
+            sizes = np.diff(ends)
+            for low in range(0, len(sizes), step):
+                some = sizes[low : low + step]
+                tokens, rows = found[ends[low] : ends[low + len(some)]], np.repeat(np.arange(len(some)), some)
+                row, query, score = block(tokens[tokens >= 0], rows[tokens >= 0], some)
+                if k is not None:
+                    near = score >= least[query]
+                    row, query, score = row[near], query[near], score[near]
+                if not len(row):
+                    continue
+                more = pa.table({"q": query, "id": of_id.take(pa.array(low + row)), "score": score})
+                if k is None:
+                    yield from result(more)
+                    continue
+                more = more if best is None else pa.concat_tables([best, more])
+                more = more.take(pc.sort_indices(more, [("q", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start"))
+                q = more["q"].to_numpy()
+                begins = np.searchsorted(q, np.arange(queries))
+                best = more.take(pa.array(np.flatnonzero(np.arange(len(q)) - begins[q] < k)))
+                q = best["q"].to_numpy()
+                last = np.searchsorted(q, np.arange(queries), "right") - 1
+                full = np.flatnonzero(np.bincount(q, minlength=queries) == k)
+                least[full] = best["score"].to_numpy()[last[full]]
+        if best is not None:
+            yield from result(best)
+
+    return run
+
+
+def _joined_hits(split: DataFrame, wanted: DataFrame, id_col: str, query_id: str, every: bool) -> DataFrame:
+    """The same by joins, for more words than can be sent out, and for rows that share an id: those of one length count together."""
+    asked = split.select(id_col, F.size("_words").alias("_len"), F.explode("_words").alias("_word")).join(wanted.select("_word").distinct(), "_word", "left_semi")
+    counts = asked.groupBy(id_col, "_len", "_word").agg(F.count("*").alias("_tf"))
+    hits = counts.join(wanted, "_word").groupBy(query_id, id_col, "_len", "_need").agg(F.sum("_n").alias("_got"), F.sum(F.col("_tf") * F.col("_n")).alias("_tf"))
+    return (hits.where("_got = _need") if every else hits).select(query_id, id_col, (F.col("_tf") / F.col("_len")).alias("score"))
+
+
 def keyword_search(chunks: DataFrame, queries: DataFrame, *, k: int | None = None, match: str = "all", broadcast_words: int = 500_000, id_col: str = "chunk_id", text: str = "text", query_id: str = "query_id", query: str = "query") -> DataFrame:
     """(query_id, id, score, rank) of the chunks that hold every word of a query, or with ``match="any"`` one of them.
 
     The score is the number of occurrences of the query's words per word of the
-    chunk.  Chunk words join query words by equality.  Words of no query drop
-    out before anything is shuffled: the distinct query words are broadcast
-    where a count shows at most ``broadcast_words``, else semi-joined.
+    chunk.  At most ``broadcast_words`` words of queries go to all tasks, which
+    count them in each chunk where it is read and, with ``k``, pass on the k
+    best of each query, so no word is shuffled.  With more words, and for
+    chunks that share an id, chunk words join query words by equality.
     """
     if match not in ("all", "any"):
         raise ValueError(f"unknown match {match!r}")
-    words = tokens(F.col(text))
+    every = match == "all"
     wanted = queries.select(query_id, F.array_distinct(tokens(F.col(query))).alias("_w")).where("size(_w) > 0")
-    wanted = wanted.select(query_id, F.size("_w").alias("_need"), F.explode("_w").alias("_word"))
-    # the words are split below the explode, and only their count is carried along
-    split = chunks.select(id_col, words.alias("_words")).select(id_col, F.size("_words").alias("_len"), "_words")
-    vocabulary = wanted.select("_word").distinct()
-    small = vocabulary.count() <= broadcast_words
-    asked = split.select(id_col, "_len", F.explode("_words").alias("_word")).join(F.broadcast(vocabulary) if small else vocabulary, "_word", "left_semi")
-    counts = asked.groupBy(id_col, "_len", "_word").agg(F.count("*").alias("_tf"))
-    hits = counts.join(wanted, "_word").groupBy(query_id, id_col, "_len", "_need").agg(F.count("*").alias("_got"), F.sum("_tf").alias("_tf"))
-    scored = (hits.where("_got = _need") if match == "all" else hits).select(query_id, id_col, (F.col("_tf") / F.col("_len")).alias("score"))
+    wanted = wanted.select(query_id, F.size("_w").alias("_need"), F.explode("_w").alias("_word")).groupBy(query_id, "_need", "_word").agg(F.count("*").alias("_n"))
+    split = chunks.select(id_col, tokens(F.col(text)).alias("_words"))
+    if wanted.count() > broadcast_words:
+        scored = _joined_hits(split, wanted, id_col, query_id, every)
+    else:
+        twice = chunks.groupBy(F.col(id_col).alias("_twice")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_twice")
+        again = None
+        if not twice.isEmpty():
+            shared = F.col(id_col).eqNullSafe(F.col("_twice"))
+            again = _joined_hits(split.join(twice, shared, "left_semi"), wanted, id_col, query_id, every)
+            split = split.join(twice, shared, "left_anti")
+        scored = split.where("size(_words) > 0").mapInArrow(_word_hits(wanted.toArrow(), id_col, [query_id, id_col, "score"], k, every), f"`{query_id}` {wanted.schema[query_id].dataType.simpleString()}, `{id_col}` {chunks.schema[id_col].dataType.simpleString()}, score double")
+        scored = scored if again is None else scored.unionByName(again)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col)))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def beside_chunks(found: DataFrame, chunks: DataFrame, rows: int, *, id_col: str = "chunk_id") -> DataFrame:
+    """Hits with the columns of their chunks; up to ``BROADCAST_HITS`` hits go to the wide chunks, which stay where they are."""
+    return (F.broadcast(found) if rows <= BROADCAST_HITS else found).join(chunks, id_col)
+
+
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, *, method: str = "rrf", k: int = 10, rrf_k: int = 60, weights: tuple[float, float] = (0.7, 0.3), query_id: str = "query_id", id_col: str = "chunk_id") -> DataFrame:
     """One ranking from two of (query_id, id, score, rank): rrf, weighted or max.
 
@@ -150,4 +240,4 @@ def search(chunks: DataFrame, embeddings: DataFrame, queries: DataFrame, *, meth
     if method != "vector":
         words = keyword_search(chunks, queries, k=wide, match=match)
         found = words if found is None else fuse(found, words, method=fusion, k=k).withColumnRenamed("fused", "score")
-    return found.join(chunks, "chunk_id")
+    return beside_chunks(found, chunks, queries.count() * k)

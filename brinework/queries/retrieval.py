@@ -231,7 +231,8 @@ def fusion_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked(spark, sf_dir, 15).join(_chunks(spark, sf_dir), "chunk_id").join(_queries(spark, sf_dir), "query_id")
+    queries = _queries(spark, sf_dir)
+    rows = search.beside_chunks(_ranked(spark, sf_dir, 15), _chunks(spark, sf_dir), 15 * queries.count()).join(queries, "query_id")
     return rows.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("similarity"), "query", F.col("text").alias("content"), (F.col("chunk_id") % 7).cast("int").alias("chunk_index"))
 
 

@@ -315,3 +315,25 @@ def test_a_text_is_not_repeated_beside_its_parts(spark):
     n = len(got) - 3
     assert [r[3:] for r in got[:n]] == [(i, n) for i in range(n)]
     assert got[n:] == [(2, None, "", 0, 1), (3, "z", None, 0, 1), (4, "w", "short", 0, 1)]
+
+
+@pytest.mark.parametrize("match", ["any", "all"])
+@pytest.mark.parametrize("k", [None, 1, 3])
+def test_words_are_counted_where_they_are_read(spark, monkeypatch, match, k):
+    """As by joins, for equal scores, ids that repeat or are null, and many blocks; no word is shuffled."""
+    monkeypatch.setattr(search, "BLOCK_CELLS", 20)
+    rng = np.random.default_rng(5)
+    texts = [(f"c{i}", " ".join(f"w{x}" for x in rng.integers(0, 9, rng.integers(0, 6)))) for i in range(120)]
+    asked = [(i % 12, " ".join(f"W{x}" for x in rng.integers(0, 9, rng.integers(0, 4)))) for i in range(14)] + [(None, "w1"), (99, None)]
+    q = spark.createDataFrame(asked, "query_id int, query string")
+    for more in ([], [("c7", "w1 w2"), ("c7", "w2 w3"), (None, "w1 w1"), (None, "w2 w1"), (None, None)]):
+        chunks = spark.createDataFrame(texts + more, "chunk_id string, text string").repartition(3)
+        one, two = (search.keyword_search(chunks, q, k=k, match=match, broadcast_words=n) for n in (500_000, 0))
+
+        def rows(df):
+            return sorted(((r.query_id, r.chunk_id, r.score) if k is None else tuple(r) for r in df.collect()), key=str)
+
+        assert rows(one) == rows(two) and one.count() > 0
+    one = search.keyword_search(spark.createDataFrame(texts, "chunk_id string, text string"), q, k=k, match=match)
+    assert "Generate" not in (plan := one._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+    assert search.keyword_search(chunks, q.limit(0), k=k, match=match).count() == 0
