@@ -5,7 +5,7 @@ A tree is its sorted labels: classes below one trie node stand side by side.
 The forest is sorted once, in ranges of labels, so a node with a third of all
 classes is spread over many tasks; nodes at any depth are runs of a common
 prefix in the sorted table.  How far prefixes are shortened is decided by the
-links that a sample has at full depth.
+links that all classes have at full depth.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from brinework.llm.exact_dedup import COUNT, GROUP, HIGH, ID, KEY, LOW, RUN, RUN
 BLOCK_ROWS, BLOCK_GRAMS = 128, 400_000
 #: Rows of the sorted forest in one range, and tiles of one task, beyond which there are more.
 RANGE_ROWS, TASK_TILES = 500_000, 16
-#: Steps of similarity in which a sample's links are counted.
+#: Steps of similarity in which links are counted.
 STEPS = 64
 #: Steps by which classes look for a common home; any homes give right results, common ones fewer tasks.
 HOME_ROUNDS = 2
@@ -106,12 +106,12 @@ def _describe(n: int, trees: int, depth: int):
             for a, b in B.blocks(offsets):
                 grams, rows = row_grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                 keys = pa.array([hashlib.blake2b(grams[x:y].tobytes(), digest_size=16).digest() for x, y in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)], pa.binary())
-                marks = signatures(grams, rows, trees * depth + 1)
-                raw = np.ascontiguousarray(marks[:, :-1]).astype(">u4")
+                marks = signatures(grams, rows, trees * depth)
+                raw = np.ascontiguousarray(marks).astype(">u4")
                 cuts = np.arange(0, raw.nbytes + 1, 4 * depth, dtype=np.int32)
                 labels = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw.tobytes())])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(marks) * trees + 1, trees, dtype=np.int32)), labels)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in keep), keys, pa.array(np.diff(rows)), lists, pa.array(marks[:, -1].astype(np.int64))], names=[ID, "text_key", KEY, SIZE, "labels", "mark"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in keep), keys, pa.array(np.diff(rows)), lists], names=[ID, "text_key", KEY, SIZE, "labels"])
 
     return run
 
@@ -350,31 +350,32 @@ def verified_links(found: DataFrame, reps: DataFrame, rows: DataFrame, *, n: int
     return materialize(dealt.mapInArrow(_compare(threshold), "id long, root long, links long, class_links long"), "linked")
 
 
-def _joined(docs: DataFrame, *, n: int, threshold: float, trees: int, depth: int, recall: float, prefix: int | None, sample_classes: int, runs: int | None, broadcast_rows: int, doc_id: str, text: str) -> DataFrame:
+def _joined(docs: DataFrame, *, n: int, threshold: float, trees: int, depth: int, recall: float, prefix: int | None, runs: int | None, broadcast_rows: int, doc_id: str, text: str) -> DataFrame:
     """:func:`ngram_join` with ``text_key``, the hash of the text."""
     key = F.xxhash64(F.col(text))
     rows = docs.select(integer_id(docs, doc_id).alias(ID), key.alias("text_key"), F.col(text).alias("text"))
     runs = runs or power_of_two(grown(docs.count(), RUNS, RUN_ROWS))
-    marks = rows.mapInArrow(_describe(n, trees, depth), f"`{ID}` long, text_key long, `{KEY}` binary, `{SIZE}` long, labels array<binary>, mark long")
+    marks = rows.mapInArrow(_describe(n, trees, depth), f"`{ID}` long, text_key long, `{KEY}` binary, `{SIZE}` long, labels array<binary>")
     marks = materialize(marks.withColumn(RUN, run_of(runs)), "marks")
     # texts without n-grams form no class
     classes = resolve(marks.where(F.col(SIZE) > 0).select(ID, RUN, KEY, SIZE), runs=runs)
     classes = materialize(classes.select(RUN, KEY, SIZE, F.col(GROUP).alias("id"), smallest().alias("low"), F.col(COUNT).alias("weight")), "classes")
     reps = marks.join(classes, [RUN, KEY, SIZE]).where(F.col(ID).eqNullSafe(F.col("low"))).dropDuplicates(["id"])
-    reps = materialize(reps.select("id", "low", "text_key", "weight", F.col(SIZE).alias("size"), "labels", "mark"), "reps")
+    reps = materialize(reps.select("id", "low", "text_key", "weight", F.col(SIZE).alias("size"), "labels"), "reps")
     count = reps.count()
-    forest = reps.select("id", F.posexplode("labels").alias("tree", "label"), "mark")
+    forest = reps.select("id", F.posexplode("labels").alias("tree", "label"))
     ranges = grown(count * trees, 16, RANGE_ROWS)
     forest = forest.repartitionByRange(ranges, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")
     forest = materialize(forest.withColumn("part", F.spark_partition_id()), "forest")
     how = {"n": n, "threshold": threshold, "broadcast_rows": broadcast_rows}
     used, linked = prefix, None
     if used is None:
-        share, linked = sampled_links(forest, reps, rows, count, ranges, depth, sample_classes, how)
+        # the links of all classes at full depth, counted by similarity
+        linked = verified_links(trie_members(forest, depth, ranges), reps, rows, **how)
         found = {threshold + (1 - threshold) * r["root"] / STEPS: r["n"] for r in linked.where("id is null").groupBy("root").agg(F.sum("links").alias("n")).collect()}
-        # without a link in the sample, recall at the threshold itself decides
-        used = matched_depth({s: k / (s + (1 - s) / share) for s, k in found.items()} or {threshold: 1.0}, trees, depth, recall)
-        linked = linked if share == 1 and used == depth else None
+        # without a link, recall at the threshold itself decides
+        used = matched_depth(found or {threshold: 1.0}, trees, depth, recall)
+        linked = linked if used == depth else None
     if linked is None:
         linked = verified_links(trie_members(forest, used, ranges), reps, rows, **how)
     linked = linked.where("id is not null")
@@ -399,22 +400,7 @@ def _joined(docs: DataFrame, *, n: int, threshold: float, trees: int, depth: int
     )
 
 
-def sampled_links(forest: DataFrame, reps: DataFrame, rows: DataFrame, count: int, ranges: int, depth: int, sample_classes: int, how: dict) -> tuple[int, DataFrame]:
-    """The links at full depth of one class in ``share``, and ``share``.
-
-    Classes are sampled by one MinHash value that no tree uses: similar classes
-    mostly share it, so their links come into the sample together.  A sample
-    that a large group swells is cut again by the class.
-    """
-    share = max(1, count // sample_classes)
-    inside = forest
-    if share > 1:
-        again = max(1, reps.where(F.pmod(F.xxhash64("mark"), F.lit(share)) == 0).count() // (2 * sample_classes))
-        inside = forest.where((F.pmod(F.xxhash64("mark"), F.lit(share)) == 0) & (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(again)) == 0))
-    return share, verified_links(trie_members(inside.drop("mark"), depth, ranges), reps, rows, **how)
-
-
-def ngram_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 8, recall: float = 0.9995, prefix: int | None = None, sample_classes: int = 50_000, runs: int | None = None, broadcast_rows: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, trees: int = 20, depth: int = 8, recall: float = 0.9995, prefix: int | None = None, runs: int | None = None, broadcast_rows: int = 300_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document with its class, its group and its number of links.
 
     A link joins two documents whose sets of word n-grams have a Jaccard
@@ -434,18 +420,18 @@ def ngram_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, trees: in
     Equal sets collapse into a class first (a tree-merge, so a class may hold a
     third of all rows).  Each class has ``trees`` labels of ``depth`` MinHash
     values, sorted into tries; classes that share a prefix are candidates and
-    are compared exactly.  The prefix is shortened from ``depth`` until the
-    links of a sample of about ``sample_classes`` classes would be found with a
-    share ``recall``; ``prefix`` sets its length instead.  The sample decides
-    nothing else.  At most ``broadcast_rows`` candidate ids are broadcast to
+    are compared exactly.  All classes are compared at ``depth`` first; from the
+    links found there the longest prefix is worked out that finds a share
+    ``recall`` of all links, and where that is shorter, all are compared by it.
+    ``prefix`` sets its length instead.  At most ``broadcast_rows`` candidate ids are broadcast to
     read their texts again; more are joined by a shuffle of the texts.
     """
-    return _joined(docs, n=n, threshold=threshold, trees=trees, depth=depth, recall=recall, prefix=prefix, sample_classes=sample_classes, runs=runs, broadcast_rows=broadcast_rows, doc_id=doc_id, text=text).drop("text_key")
+    return _joined(docs, n=n, threshold=threshold, trees=trees, depth=depth, recall=recall, prefix=prefix, runs=runs, broadcast_rows=broadcast_rows, doc_id=doc_id, text=text).drop("text_key")
 
 
 def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` with the rows that stand for their group (see :func:`ngram_join`), all columns kept."""
-    defaults = {"n": 5, "threshold": 0.8, "trees": 20, "depth": 8, "recall": 0.9995, "prefix": None, "sample_classes": 50_000, "runs": None, "broadcast_rows": 300_000}
+    defaults = {"n": 5, "threshold": 0.8, "trees": 20, "depth": 8, "recall": 0.9995, "prefix": None, "runs": None, "broadcast_rows": 300_000}
     gone = _joined(docs, doc_id=doc_id, text=text, **(defaults | how)).where(~F.col("kept")).select(F.col("doc_id").alias(ID), F.col("text_key").alias(KEY))
     gone = materialize(gone.distinct(), "gone")
     few, mark = gone.count() <= 200_000, PREFIX + "mark"

@@ -544,6 +544,14 @@ def test_depth_follows_the_data(spark, monkeypatch, changes, depths):
     assert sum(got.values()) >= 0.99 * sum(links.values()) and all(got[i] <= links[i] for i in texts)
 
 
+def test_depth_is_worked_out_from_all_classes(spark, monkeypatch):
+    seen, plain = [], ngram_join.trie_members
+    monkeypatch.setattr(ngram_join, "trie_members", lambda forest, k, ranges: seen.append(forest.count()) or plain(forest, k, ranges))
+    docs = spark.range(100_010).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"))
+    assert ngram_join.ngram_join(docs, trees=2, depth=2).where("n_links = 0").count() == 100_010
+    assert set(seen) == {200_020}
+
+
 @pytest.mark.parametrize("ranges", [1, 7, 50])
 def test_trie_nodes_do_not_depend_on_ranges(spark, ranges):
     rng = random.Random(4)
