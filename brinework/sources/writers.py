@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brinework.session import working_folder
+
 
 def jsonl(df: DataFrame, path: str, *, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
@@ -37,7 +39,14 @@ def table_info(spark, names: list[str]) -> DataFrame:
 
 
 def comparison(results: DataFrame, *, query_id: str = "query_id", model: str = "model", value: str = "similarity", most: int = 1000) -> DataFrame:
-    """One row per query with a column per model; more than ``most`` models are an error, since columns are named on the driver."""
+    """One row per query with a column per model; more than ``most`` models are an error, since columns are named on the driver.
+
+    The results are worked out once and written to the shared folder, from which models and values are read.
+    """
+    path = working_folder(results.sparkSession, "comparison")
+    results = results.select(query_id, model, value)
+    results.write.parquet(path)
+    results = results.sparkSession.read.schema(results.schema).parquet(path)
     models = [r[0] for r in results.select(model).distinct().orderBy(model).limit(most + 1).collect()]
     if len(models) > most:
         raise ValueError(f"more than {most} models: keep the results in rows, or raise most")

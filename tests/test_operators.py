@@ -337,3 +337,11 @@ def test_words_are_counted_where_they_are_read(spark, monkeypatch, match, k):
     one = search.keyword_search(spark.createDataFrame(texts, "chunk_id string, text string"), q, k=k, match=match)
     assert "Generate" not in (plan := one._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
     assert search.keyword_search(chunks, q.limit(0), k=k, match=match).count() == 0
+
+
+def test_comparison_works_out_its_results_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: seen.add(1) or x, "string").asNondeterministic()
+    rows = spark.createDataFrame([(i // 2, f"m{i % 2}", float(i)) for i in range(10)], "query_id int, model string, similarity double").withColumn("model", counted("model"))
+    assert sorted(map(tuple, writers.comparison(rows).collect())) == [(i, 2.0 * i, 2.0 * i + 1) for i in range(5)]
+    assert seen.value == 10
