@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from brinework.llm import _bytes as B
 from brinework.llm import collocations, decontaminate, exact_dedup, lang_id, lm_score, mixing, ngram_join, quality, resample, secrets, sharding, toxicity, vector_dedup
 from brinework.llm._convnet import Bank
-from brinework.llm._shared import materialize, scratch
+from brinework.llm._shared import labelled_sample, materialize, scratch
 from brinework.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, _bw_id long, score double"
@@ -106,6 +106,16 @@ def test_toxicity_learns_a_word_and_survives_odd_rows(spark, odd):
     assert toxicity.score(odd.limit(0), toxicity.fit(odd.limit(0), marks.limit(0))).count() == 0
 
 
+def test_toxicity_is_trained_in_a_task_not_in_the_driver(spark, monkeypatch):
+    docs, marks = labels(spark)
+    learn = marks.where("pmod(crc32(cast(doc_id as string)), 4) <> 2")
+    want = toxicity.fitted(*labelled_sample(docs, learn, "toxic", 6000, 1 << 16, "lang"))
+    monkeypatch.setattr(toxicity, "train", None)
+    got = toxicity.fit(docs, marks)
+    assert np.allclose(got.bank.embedding, want.bank.embedding, atol=1e-4) and np.allclose(got.weights, want.weights, atol=1e-4)
+    assert got.thresholds.keys() == want.thresholds.keys() and all(abs(got.thresholds[k] - v) < 1e-3 for k, v in want.thresholds.items())
+
+
 def test_a_toxic_word_anywhere_in_a_long_text_counts(spark):
     docs, marks = labels(spark)
     model = toxicity.fit(docs, marks)
