@@ -6,6 +6,7 @@ from brinework.catalog import QUERIES
 
 NAMES = [
     "context_purposes",
+    "fusion_full_outer",
 ]
 
 
