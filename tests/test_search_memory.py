@@ -7,6 +7,7 @@ from brinework.catalog import QUERIES
 NAMES = [
     "context_purposes",
     "fusion_full_outer",
+    "hybrid_weighted",
 ]
 
 
