@@ -8,6 +8,7 @@ NAMES = [
     "context_purposes",
     "fusion_full_outer",
     "hybrid_weighted",
+    "metric_recall_precision_mrr_ndcg",
 ]
 
 
