@@ -9,6 +9,7 @@ NAMES = [
     "fusion_full_outer",
     "hybrid_weighted",
     "metric_recall_precision_mrr_ndcg",
+    "overall_score",
 ]
 
 
