@@ -10,6 +10,7 @@ NAMES = [
     "hybrid_weighted",
     "metric_recall_precision_mrr_ndcg",
     "overall_score",
+    "rerank_keyword",
 ]
 
 
