@@ -11,6 +11,7 @@ NAMES = [
     "metric_recall_precision_mrr_ndcg",
     "overall_score",
     "rerank_keyword",
+    "rerank_position",
 ]
 
 
