@@ -12,6 +12,7 @@ NAMES = [
     "overall_score",
     "rerank_keyword",
     "rerank_position",
+    "hybrid_rrf",
 ]
 
 
