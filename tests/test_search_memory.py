@@ -13,6 +13,7 @@ NAMES = [
     "rerank_keyword",
     "rerank_position",
     "hybrid_rrf",
+    "min_max_scores",
 ]
 
 
