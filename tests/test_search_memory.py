@@ -14,6 +14,7 @@ NAMES = [
     "rerank_position",
     "hybrid_rrf",
     "min_max_scores",
+    "model_comparison",
 ]
 
 
