@@ -15,6 +15,7 @@ NAMES = [
     "hybrid_rrf",
     "min_max_scores",
     "model_comparison",
+    "rerank_combined",
 ]
 
 
