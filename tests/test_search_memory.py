@@ -16,6 +16,7 @@ NAMES = [
     "min_max_scores",
     "model_comparison",
     "rerank_combined",
+    "rerank_semantic",
 ]
 
 
