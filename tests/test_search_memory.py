@@ -17,6 +17,7 @@ NAMES = [
     "model_comparison",
     "rerank_combined",
     "rerank_semantic",
+    "metric_summary",
 ]
 
 
