@@ -21,9 +21,10 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     links = materialize(both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        near = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        up = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        near = links.unionAll(up)
         least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = up.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         links = materialize(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), "links")

@@ -310,11 +310,11 @@ def verified_links(found: DataFrame, reps: DataFrame, rows: DataFrame, *, n: int
     are dealt to tasks in turn by falling size.
     """
     found = materialize(found, "candidates")
-    # the smallest hub seen within a few steps below the nodes
-    homes = materialize(found.groupBy("id").agg(F.min("hub").alias("home")), "homes")
+    # the smallest hub seen within a few steps below the nodes; each step is read once, so none is written
+    homes = found.groupBy("id").agg(F.min("hub").alias("home"))
     for _ in range(HOME_ROUNDS):
         near = found.select("node", "id").join(homes, "id").groupBy("node").agg(F.min("home").alias("home"))
-        homes = materialize(found.select("node", "id").join(near, "node").groupBy("id").agg(F.min("home").alias("home")), "homes")
+        homes = found.select("node", "id").join(near, "node").groupBy("id").agg(F.min("home").alias("home"))
     homes = materialize(homes.join(reps.select("id", "low", "text_key", "weight", "size"), "id"), "homes")
     room = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_GRAMS)).alias("subs"))
     placed = materialize(homes.join(room, "home").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs"))).drop("subs", "size"), "blocks")
@@ -323,13 +323,17 @@ def verified_links(found: DataFrame, reps: DataFrame, rows: DataFrame, *, n: int
     across = meets.select("node", F.col("block").alias("x")).join(meets.select("node", F.col("block").alias("y")), "node").where(F.col("x") < F.col("y"))
     sizes = placed.groupBy("home", "sub").agg(F.count("*").alias("k")).select(block.alias("x"), "k")
     within = sizes.where("k > 1").select("x", F.col("x").alias("y"))
-    pairs = materialize(across.select("x", "y").distinct().unionAll(within), "pairs")
+    pairs = across.select("x", "y").distinct().unionAll(within)
     pairs = pairs.join(sizes, "x").join(sizes.select(F.col("x").alias("y"), F.col("k").alias("m")), "y")
     pairs = materialize(pairs.orderBy(F.desc(F.col("k") + F.col("m")), "x", "y").select("x", "y", F.monotonically_increasing_id().alias("tile")), "tiles")
     # tiles are dealt like cards, the largest first: place in the order modulo the number of tasks
     part = F.shiftright("tile", 33)
-    ahead, total = {}, 0
-    for p, k in sorted((r.p, r.k) for r in pairs.groupBy(part.alias("p")).agg(F.count("*").alias("k")).collect()):
+    ahead, total, n_placed = {}, 0, 0
+    # one job counts the tiles of each part and, as part -1, the candidates
+    for p, k in sorted(tuple(r) for r in pairs.select(part.alias("p")).unionAll(placed.select(F.lit(-1).cast("long"))).groupBy("p").count().collect()):
+        if p < 0:
+            n_placed = k
+            continue
         ahead[p] = total
         total += k
     bases = found.sparkSession.createDataFrame(list(ahead.items()), "p long, base long")
@@ -340,11 +344,11 @@ def verified_links(found: DataFrame, reps: DataFrame, rows: DataFrame, *, n: int
     one, two = (F.struct(F.col(c).alias("block"), F.lit(i).alias("side")) for i, c in enumerate(("x", "y")))
     seats = pairs.select("tile", task.alias("task"), same.alias("same"), F.explode(F.when(same, F.array(one)).otherwise(F.array(one, two))).alias("s"))
     seats = seats.select("tile", "task", "same", "s.side", "s.block.home", "s.block.sub")
-    few = placed.count() <= broadcast_rows
+    few = n_placed <= broadcast_rows
     named = placed.withColumnRenamed("text_key", "own_key")
     texts = rows.join(F.broadcast(named) if few else named, (F.col("text_key") == F.col("own_key")) & F.col(ID).eqNullSafe(F.col("low")))
     texts = texts.select("id", "weight", "home", "sub", "text").dropDuplicates(["id"])
-    sets = materialize(texts.mapInArrow(_grams(n), "id long, weight long, home long, sub long, grams array<long>"), "sets")
+    sets = texts.mapInArrow(_grams(n), "id long, weight long, home long, sub long, grams array<long>")
     tiles = sets.join(seats, ["home", "sub"]).select("task", "tile", "id", "weight", "side", "same", "grams")
     dealt = tiles.repartitionById(tasks, F.col("task")).drop("task").sortWithinPartitions("tile")
     return materialize(dealt.mapInArrow(_compare(threshold), "id long, root long, links long, class_links long"), "linked")
@@ -354,7 +358,8 @@ def _joined(docs: DataFrame, *, n: int, threshold: float, trees: int, depth: int
     """:func:`ngram_join` with ``text_key``, the hash of the text."""
     key = F.xxhash64(F.col(text))
     rows = docs.select(integer_id(docs, doc_id).alias(ID), key.alias("text_key"), F.col(text).alias("text"))
-    runs = runs or power_of_two(grown(docs.count(), RUNS, RUN_ROWS))
+    count = docs.count()
+    runs = runs or power_of_two(grown(count, RUNS, RUN_ROWS))
     marks = rows.mapInArrow(_describe(n, trees, depth), f"`{ID}` long, text_key long, `{KEY}` binary, `{SIZE}` long, labels array<binary>")
     marks = materialize(marks.withColumn(RUN, run_of(runs)), "marks")
     # texts without n-grams form no class
@@ -362,7 +367,6 @@ def _joined(docs: DataFrame, *, n: int, threshold: float, trees: int, depth: int
     classes = materialize(classes.select(RUN, KEY, SIZE, F.col(GROUP).alias("id"), smallest().alias("low"), F.col(COUNT).alias("weight")), "classes")
     reps = marks.join(classes, [RUN, KEY, SIZE]).where(F.col(ID).eqNullSafe(F.col("low"))).dropDuplicates(["id"])
     reps = materialize(reps.select("id", "low", "text_key", "weight", F.col(SIZE).alias("size"), "labels"), "reps")
-    count = reps.count()
     forest = reps.select("id", F.posexplode("labels").alias("tree", "label"))
     ranges = grown(count * trees, 16, RANGE_ROWS)
     forest = forest.repartitionByRange(ranges, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")

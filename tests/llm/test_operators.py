@@ -625,6 +625,16 @@ def test_two_texts_of_one_id_keep_their_links(spark):
     assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(7, a[0]), (7, b[0]), (20, a[3])])
 
 
+def test_a_pass_of_the_join_writes_only_what_is_read_twice(spark, monkeypatch):
+    names, plain = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name, *more: names.append(name) or plain(df, name, *more))
+    rows = list(near_texts(2, n=2, seed=3).items())
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), prefix=4)
+    assert {r.group_id for r in got.collect()} == {0, 2}
+    # each table that is written costs the driver jobs, broadcasts and threads
+    assert names == ["marks", "classes", "reps", "forest", "runs", "candidates", "homes", "blocks", "meets", "tiles", "linked", "facts", "heads"]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 450), (7, 7), (9000, 9000)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
