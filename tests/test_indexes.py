@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -58,6 +59,49 @@ def test_index_of_odd_texts(spark, tmp_path):
     assert inverted.topk(empty, asked).count() == 0 and inverted.cover_topk(empty, asked).count() == 0
 
 
+@pytest.mark.parametrize("name", ["keyword_index_topk"])
+def test_index_and_search_shuffle_no_more_than_a_few_times_the_texts(spark, name):
+    """A row for each word of each text, or of each query and text, would be some twenty times the input."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    assert QUERIES[name](spark, SF).count() > 0
+    assert shuffled() - before < 4 * os.path.getsize(f"{SF}/documents.parquet")
+
+
+def test_blocks_of_long_texts_hold_fewer_of_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "BLOCK_WORDS", 500)
+    rows = [(i, " ".join(f"w{j}" for j in range(100))) for i in range(60)] + [(-1, ""), (-2, None)]
+    index = inverted.build(spark.createDataFrame(rows, "chunk_id int, text string"), str(tmp_path / "i"))
+    blocks = index.postings.where("word = ''").collect()
+    assert len(blocks) > 6
+    assert sorted(i for b in blocks for i in b.ids) == list(range(60))
+
+
+@pytest.mark.parametrize("cells", [1, 2_000_000])
+def test_search_of_some_queries_at_a_time(spark, tmp_path, monkeypatch, cells):
+    """Results don't depend on how many queries of a block are scored at a time; string ids."""
+    draw = random.Random(5)
+    rows = [(f"d{i}", " ".join(draw.choice("abcdefg") for _ in range(draw.randint(0, 12)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "chunk_id string, text string")
+    asked = spark.createDataFrame([(i, " ".join(draw.sample("abcdefgz", draw.randint(0, 3)))) for i in range(12)], "query_id int, query string")
+    index = inverted.build(docs, str(tmp_path / "i"))
+    monkeypatch.setattr(inverted, "BLOCK_CELLS", cells)
+    for match in ("all", "any"):
+        want = search.keyword_search(docs, asked, k=4, match=match).select("query_id", "chunk_id", "rank", "score")
+        got = inverted.topk(index, asked, k=4, match=match).select("query_id", "chunk_id", "rank", "score")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    words = dict(rows)
+    for r in inverted.cover_topk(index, asked, k=200).join(asked, "query_id").collect():
+        text = words[r.chunk_id].split()
+        lists = [np.array([i for i, w in enumerate(text) if w == q]) for q in dict.fromkeys(r.query.split())]
+        assert r.score == inverted.cover_density(lists) > 0
+
+
 def test_cover_density_equals_trying_every_stretch():
     draw = random.Random(3)
     for _ in range(300):
