@@ -59,7 +59,7 @@ def test_index_of_odd_texts(spark, tmp_path):
     assert inverted.topk(empty, asked).count() == 0 and inverted.cover_topk(empty, asked).count() == 0
 
 
-@pytest.mark.parametrize("name", ["keyword_index_topk", "cover_density_topk"])
+@pytest.mark.parametrize("name", ["keyword_index_topk", "cover_density_topk", "keyword_index_blocks"])
 def test_index_and_search_shuffle_no_more_than_a_few_times_the_texts(spark, name):
     """A row for each word of each text, or of each query and text, would be some twenty times the input."""
     sc = spark.sparkContext._jsc.sc()
