@@ -31,6 +31,12 @@ def iso_dates(c: str | Column) -> Column:
     return c
 
 
+def may_have_dates(c: str | Column) -> Column:
+    """False only for texts that :func:`iso_dates` leaves as they are."""
+    c = _col(c)
+    return F.contains(c, F.lit("년")) | F.contains(c, F.lit("제")) | F.contains(c, F.lit("주-")) | c.rlike(r"\.\d{2}\.\d{2}")
+
+
 def compact_date(c: str | Column) -> Column:
     """YYYYMMDD as YYYY-MM-DD; anything else unchanged."""
     c = _col(c)

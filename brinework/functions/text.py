@@ -33,6 +33,9 @@ CONTENTS_PATTERNS = (
     r"‥+.*?(?=\n\n|\z)",
 )
 
+#: One of these stands in a text, or a dash before a number or dashes, or a line of digits, if a pattern above finds anything.
+CONTENTS_SIGNS = ("목", "페", "독", "연", "ㆍ", "외", "주석", "제", "【", "‥")
+
 _WORD = "([가-힣a-zA-Z0-9]+)"
 
 
@@ -101,6 +104,15 @@ def contents_removed(c: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?m)^\s*\d+\s*$", ""), "‥{3,}", "")
 
 
+def may_have_contents(c: str | Column) -> Column:
+    """False only for texts that :func:`contents_removed` leaves as they are; found by plain words, which is faster than trying each pattern."""
+    c = _col(c)
+    found = c.rlike(r"-(?:\s*\d|--)") | c.rlike(r"(?m)^\s*\d+\s*$")
+    for sign in CONTENTS_SIGNS:
+        found = F.contains(c, F.lit(sign)) | found
+    return found
+
+
 def html_text(c: str | Column) -> Column:
     """Tags removed, white space squeezed; null gives ''."""
     return squeezed(F.regexp_replace(F.coalesce(_col(c), F.lit("")), "<[^>]+>", " "))

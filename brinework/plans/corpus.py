@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinework.functions.dates import iso_dates
-from brinework.functions.text import contents_removed, path_simplified, special_chars_removed, squeezed, unmarked
+from brinework.functions.dates import iso_dates, may_have_dates
+from brinework.functions.text import contents_removed, may_have_contents, path_simplified, special_chars_removed, unmarked
 from brinework.operators.blocks import document_blocks, merged, numbered
 from brinework.operators.chunking import adaptive_splitter, with_chunk_metadata
 from brinework.operators.narration import narrated
@@ -44,6 +44,14 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(rows(), _BLOCK)
 
 
+def _told(documents: DataFrame) -> DataFrame:
+    """The blocks of :func:`parse`, and those without a text."""
+    kinds = "doc_id string, seq int, section_path string, chunk_type string, text string, structured_data map<string,string>, _data map<string,string>, unit string"
+    rows = documents.select(F.col("doc_id").cast("string"), "body").mapInArrow(_parsed, kinds)
+    told = F.when(F.col("chunk_type") == "table_row", narrated("section_path", "_data"))
+    return rows.withColumn("text", F.coalesce("text", told)).drop("_data")
+
+
 def parse(documents: DataFrame) -> DataFrame:
     """Blocks of (doc_id, body) Markdown documents: doc_id, seq, section_path, chunk_type, text, structured_data, unit.
 
@@ -51,16 +59,28 @@ def parse(documents: DataFrame) -> DataFrame:
     a sentence by its section and keys, with numbers in the table's unit of
     money written out.  A null body has no blocks.  Document ids are distinct.
     """
-    kinds = "doc_id string, seq int, section_path string, chunk_type string, text string, structured_data map<string,string>, _data map<string,string>, unit string"
-    rows = documents.select(F.col("doc_id").cast("string"), "body").mapInArrow(_parsed, kinds)
-    told = F.when(F.col("chunk_type") == "table_row", narrated("section_path", "_data"))
-    return rows.withColumn("text", F.coalesce("text", told)).where("text is not null").drop("_data")
+    return _told(documents).where("text is not null")
+
+
+def _plain(blocks: DataFrame) -> DataFrame:
+    """The blocks of :func:`normalise`, and those that end up empty; a text goes through a step's patterns only if it holds what they need.
+
+    No filter on the text may follow before the next fold: moved before these steps it would repeat each for every mention of the text.
+    """
+    text = F.col("text")
+    for may, step in (
+        (may_have_contents(text), contents_removed),
+        (F.contains(text, F.lit("*")), unmarked),
+        (F.contains(text, F.lit(">")), path_simplified),
+        (may_have_dates(text), iso_dates),
+    ):
+        blocks = blocks.withColumn("text", F.when(may, step(text)).otherwise(text))
+    return blocks.withColumn("text", special_chars_removed(text))
 
 
 def normalise(blocks: DataFrame) -> DataFrame:
     """Tables of contents, marks, dates and special characters put in order; blocks that end up empty drop out."""
-    text = special_chars_removed(iso_dates(path_simplified(unmarked(contents_removed("text")))))
-    return blocks.withColumn("text", squeezed(text)).where("text <> ''")
+    return blocks.withColumn("text", special_chars_removed(iso_dates(path_simplified(unmarked(contents_removed("text")))))).where("text <> ''")
 
 
 def _assembled(budget: int, merge: bool):
@@ -76,14 +96,14 @@ def _assembled(budget: int, merge: bool):
             yield tuple(r[f.name] for f in schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = (tuple(x.as_py() for x in row) for batch in batches for row in zip(*batch.columns, strict=True))
+        blocks = (tuple(x.as_py() for x in row) for batch in batches for row in zip(*batch.columns, strict=True) if row[4].as_py())
         yield from _batches(chain.from_iterable(document(list(some)) for _, some in groupby(blocks, key=itemgetter(0))), schema)
 
     return run
 
 
 def _chunked(blocks: DataFrame, *, budget: int, merge: bool) -> DataFrame:
-    """Chunks of blocks that stand document by document, in order, in their partitions."""
+    """Chunks of blocks that stand document by document, in order, in their partitions; blocks without text are passed over."""
     kinds = "doc_id string, seq long, section_path string, chunk_type string, text string, chunk_id string, prev_context string, next_context string, " + ("merged_count int" if merge else "split_index int, total_splits int")
     out = blocks.select("doc_id", "seq", "section_path", "chunk_type", "text").mapInArrow(_assembled(budget, merge), kinds)
     return with_chunk_metadata(out.withColumn("document_name", F.col("section_path")))
@@ -99,5 +119,9 @@ def chunk(blocks: DataFrame, *, budget: int = 7000, merge: bool = True) -> DataF
 
 
 def build(documents: DataFrame) -> DataFrame:
-    """Documents (doc_id, body) to chunks."""
-    return _chunked(normalise(parse(documents)), budget=7000, merge=True)
+    """Documents (doc_id, body) to chunks.
+
+    Blocks without text drop out in the last fold: Spark would move a filter on
+    the text before the steps that make it, and take each of them twice.
+    """
+    return _chunked(_plain(_told(documents)), budget=7000, merge=True)

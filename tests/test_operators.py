@@ -1,3 +1,4 @@
+import random
 import time
 
 import numpy as np
@@ -5,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from brinework.catalog import QUERIES
+from brinework.functions import text as text_functions
+from brinework.functions.dates import iso_dates, may_have_dates
 from brinework.operators import chunking, context, dedupe, joins, quiz, rerank, search, sequences, sft, structured
 from brinework.operators import metrics as M
 from brinework.plans import corpus
@@ -227,6 +230,33 @@ def test_tables_are_read_down_or_across_in_their_unit(spark, name):
     assert {r.unit for r in got} == {"천원"} and all("1200000" in r.text for r in got if name == "headers")
 
 
+def test_steps_of_the_corpus_plan_are_taken_once(spark):
+    """A filter on the text of the blocks would be moved before the steps that make it, and repeat them all."""
+    frame = spark.createDataFrame([("d", "text")], "doc_id string, body string")
+    plan = corpus.build(frame).select("chunk_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(" in plan
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace(" in line]
+
+
+def test_texts_without_signs_of_dates_or_contents_are_left_as_they_are(spark):
+    """Steps that are left out by a sign change nothing: texts put together of pieces of what the patterns find."""
+    draw = random.Random(11)
+    pieces = (
+        *("목", "차", "페", "이", "지", "독립된", "감사인의", "감사보고서", "연", "결", "재", "무", "제", "표", "에", "대", "한", "ㆍ", "외부감사", "실시내용", "주석", "I.", "II. ", "가나", "(당)", "(", ")", "기"),
+        *("【", "】", "-", "--", "---", "‥", "‥‥‥", "~", "12", "7", "2024", "2024년", "03월", "3월", "05일", ".", "2024.01.02", "2024주-01-02", "\n", "\n\n", "\r\n", "\t", " ", " ", "*", "**", ">", ":", "1. ", "a", "é", "제 54 기"),
+    )
+    rows = [("d", i, "".join(draw.choice(pieces) for _ in range(draw.randint(1, 9)))) for i in range(4000)]
+    rows += [("d", 4000 + i, a + b + c) for i, (a, b, c) in enumerate((a, b, c) for a in ("", "x", "\n") for b in pieces for c in ("", "\n", "3"))]
+    blocks = spark.createDataFrame(rows, "doc_id string, seq int, text string").repartition(2)
+    text = F.col("text")
+    every = text_functions.squeezed(text_functions.special_chars_removed(iso_dates(text_functions.path_simplified(text_functions.unmarked(text_functions.contents_removed(text))))))
+    want = blocks.select("seq", every.alias("text"))
+    assert sorted(map(tuple, corpus._plain(blocks).select("seq", "text").collect())) == sorted(map(tuple, want.collect()))
+    wrong = (~text_functions.may_have_contents(text) & (text_functions.contents_removed(text) != text)) | (~may_have_dates(text) & (iso_dates(text) != text))
+    assert blocks.where(wrong).count() == 0
+    assert blocks.where(~text_functions.may_have_contents(text)).count() > 100 < blocks.where(~may_have_dates(text)).count()
+
+
 def test_chunks_equal_a_plain_pass_over_each_document(spark):
     """Chunks of every document of the smallest tables, against windows written out as loops."""
     docs = {str(r.doc_id): r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
