@@ -116,6 +116,18 @@ def test_toxicity_is_trained_in_a_task_not_in_the_driver(spark, monkeypatch):
     assert got.thresholds.keys() == want.thresholds.keys() and all(abs(got.thresholds[k] - v) < 1e-3 for k, v in want.thresholds.items())
 
 
+def test_toxicity_learns_from_every_labelled_text():
+    """A word that only the last fifth has is learned too; thresholds come from scores of texts that were not learned from."""
+    texts = [b"kiba lume " + (b"vile" if i % 2 else b"sona") for i in range(80)] + [b"kiba lume " + (b"grim" if i % 2 else b"sona") for i in range(20)]
+    y = [i % 2 for i in range(100)]
+    model = toxicity.fitted(texts, y, ["a"] * 100)
+    plain, grim = toxicity.score_block(model, *toxicity._pack([b"kiba lume sona", b"kiba lume grim"]))
+    assert plain < 0.3 < 0.6 < grim
+    whole, part = toxicity.train(texts, y), toxicity.train(texts[:80], y[:80])
+    assert np.array_equal(model.weights, whole.weights) and np.array_equal(model.bank.embedding, whole.bank.embedding)
+    assert model.thresholds == toxicity.calibrate(toxicity.score_block(part, *toxicity._pack(texts[80:])), np.array(y[80:]), ["a"] * 20)
+
+
 def test_a_toxic_word_anywhere_in_a_long_text_counts(spark):
     docs, marks = labels(spark)
     model = toxicity.fit(docs, marks)
